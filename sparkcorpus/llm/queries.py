@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcorpus.llm import bpe, markup, packing
+from sparkcorpus.llm import bpe, markup, neighbours, packing
 from sparkcorpus.llm import pieces as pieces_
 from sparkcorpus.llm.arrow import map_rows, spread
 from sparkcorpus.session import cut_lineage, table
@@ -49,6 +49,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row_id", F.explode(F.array_compact(kinds)).alias("kind"))
 
 
+# -- p4: most similar vectors
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, other, sim, rank: the ten most similar chunks of every chunk with a valid vector."""
+    return neighbours.most_similar(table(spark, sf_dir, "article_chunks"), "id", "embedding", 64, 10)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id_a, id_b of the pairs with cosine of at least 0.92 of which one is among the ten most similar of the other."""
+    near = neighbours.most_similar(table(spark, sf_dir, "article_chunks"), "id", "embedding", 64, 10, least=0.92)
+    return near.where("sim >= 0.92").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 # -- p7: oversized texts
 
 
@@ -119,7 +133,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_fill": p9_fill}
 ORACLES = {
     "p7_found": "SELECT 'article' AS item, row_id AS row_key FROM articles WHERE length(xhtml_md) > 700 UNION ALL SELECT 'chunk' AS item, id AS row_key FROM article_chunks WHERE length(chunk_text) > 700",
 }
