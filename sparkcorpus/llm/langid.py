@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import unicodedata
 from collections import Counter
 
@@ -40,8 +41,12 @@ _SEEDS = {
 #: Bounds of the fit: labelled rows sampled from the table, sentences looked at and bytes kept for each language.
 TRAIN_ROWS, TRAIN_SENTENCES, DICTIONARY = 12_000, 2_500, 40_000
 #: A unit is decided only if the best output is smaller than the next by this share and this many bytes.
-MARGIN, MARGIN_BYTES = 0.06, 3
+MARGIN, MARGIN_BYTES = 0.2, 3
+#: A sampled sentence fills a dictionary if its own label is likelier than any other by this (natural logarithm).
+CLEAR = 3.0
 LEVEL = 4
+#: A sentence is novel to a dictionary if its output is larger than this share of it.
+NOVEL = 0.3
 
 
 def label_language(label: str | None) -> str | None:
@@ -67,6 +72,15 @@ def _script(text: str) -> frozenset[str]:
     return frozenset(found)
 
 
+_NAME = re.compile(r"(?<=\S[ \n])[^\W\d_a-zæøåäöüéèñß]{1}[^\W\d_]{3,}")
+_DIGITS = re.compile(r"\d+")
+
+
+def _masked(text: str) -> str:
+    """Without what tells nothing about the language: numbers, and capitalised words inside the sentence (mostly names)."""
+    return _DIGITS.sub("0", _NAME.sub(lambda m: "X" if m.group()[0].isupper() else m.group(), text))
+
+
 class CompressionClassifier:
     """``sizes(text)`` under each language's dictionary; picklable as the dictionaries' bytes."""
 
@@ -107,7 +121,7 @@ class CompressionClassifier:
         return known
 
     def sizes(self, text: str) -> dict[str, int]:
-        ready, raw = self._load(), text.encode("utf-8", "replace")
+        ready, raw = self._load(), _masked(text).encode("utf-8", "replace")
         return {c: len(ready[c].compress(raw)) for c in self.candidates(text)}
 
     def classify(self, text: str) -> tuple[str, float, bool]:
@@ -124,7 +138,7 @@ def _filled(pools: dict[str, list[str]], rng: random.Random) -> dict[str, bytes]
     """Dictionaries from sentences, the most novel first kept: a sentence that the dictionary so far already makes small adds nothing."""
     out = {}
     for code in NAMES:
-        pool = sorted(set(pools.get(code, [])))
+        pool = sorted({_masked(s) for s in pools.get(code, [])})
         rng.shuffle(pool)
         kept, size, tester = [_SEEDS[code]], len(_SEEDS[code].encode()), None
         for k, s in enumerate(pool):
@@ -134,7 +148,7 @@ def _filled(pools: dict[str, list[str]], rng: random.Random) -> dict[str, bytes]
                 words = zstandard.ZstdCompressionDict("\n".join(kept).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 tester = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False)
             raw = s.encode("utf-8", "replace")
-            if k < 40 or len(tester.compress(raw)) > 0.4 * len(raw):
+            if k < 40 or len(tester.compress(raw)) > NOVEL * len(raw):
                 kept.append(s)
                 size += len(raw) + 1
         # zstandard finds the end of a dictionary cheapest, so the seed stands first
@@ -161,7 +175,8 @@ def _agreeing(pools: dict[str, list[str]]) -> dict[str, list[str]]:
         for x in sorted(set(pool)):
             own = triples(x.lower())
             score = {c: sum(math.log((counts[c].get(t, 0) + 0.05) / (sizes[c] + 1)) for t in own) for c in counts}
-            if max(score, key=score.get) == code:
+            others = max((v for c, v in score.items() if c != code), default=-math.inf)
+            if score[code] > others + CLEAR:
                 kept.append(x)
         out[code] = kept
     return out

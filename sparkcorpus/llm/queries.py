@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcorpus.llm import bpe, markup, neighbours, packing
+from sparkcorpus.llm import bpe, langid, markup, neighbours, packing, sentences
 from sparkcorpus.llm import pieces as pieces_
 from sparkcorpus.llm.arrow import map_rows, spread
 from sparkcorpus.session import cut_lineage, table
@@ -63,6 +63,77 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.where("sim >= 0.92").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+# -- p5: sentence units
+
+
+def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, start_char, end_char of the sentence units of every row of ``df``.
+
+    Null and blank texts have no units, repeated rows give their units again, other columns are not read.
+    """
+    unit = T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
+    schema = _fields((key, df.schema[key].dataType), ("units", T.ArrayType(unit)))
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        return {key: batch.column(key), "units": [[{"start_char": a, "end_char": b} for a, b in sentences.sentences(t)] for t in batch.column(text).to_pylist()]}
+
+    return map_rows(spread(df.select(key, text), [key]), schema, work).select(key, F.inline("units"))
+
+
+def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every article row."""
+    return sentence_units(table(spark, sf_dir, "articles"), "row_id", "xhtml_md")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, start_char, end_char: the sentence units of each row in sentence_tasks."""
+    tasks = table(spark, sf_dir, "sentence_tasks").select("row_id").distinct()
+    rows = table(spark, sf_dir, "articles").select("row_id", "xhtml_md").join(tasks, "row_id", "left_semi")
+    return sentence_units(rows, "row_id", "xhtml_md")
+
+
+# -- p10: languages
+
+
+def fitted_languages(df: DataFrame, key: str, text: str, label: str) -> langid.CompressionClassifier:
+    """Dictionaries from at most about ``langid.TRAIN_ROWS`` labelled rows, chosen by a hash of their key."""
+    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    share = min(1.0, langid.TRAIN_ROWS / max(df.count(), 1))
+    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(label, text)
+    return langid.fit([(r[0], r[1]) for r in sample.toLocalIterator()])
+
+
+def languages(df: DataFrame, key: str, text: str, label: str, model: langid.CompressionClassifier | None = None) -> DataFrame:
+    """``key``, main language, confidence, cases and segments (start, end, language, confidence) of every row.
+
+    Texts without letters, empty and null ones have no language, no case and no segment. Repeated rows stay repeated;
+    other columns are not read.
+    """
+    model = model or fitted_languages(df, key, text, label)
+    part = T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("lang_code", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    schema = _fields((key, df.schema[key].dataType), ("main_lang", T.StringType()), ("confidence", T.DoubleType()), ("cases", T.ArrayType(T.StringType())), ("segments", T.ArrayType(part)))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        done = [langid.judge(shared.value, t, n) for t, n in zip(batch.column(text).to_pylist(), batch.column(label).to_pylist())]
+        names = ("start_char", "end_char", "lang_code", "confidence")
+        return {key: batch.column(key), "main_lang": [d[0] for d in done], "confidence": [float(d[1]) for d in done], "cases": [d[2] for d in done], "segments": [[dict(zip(names, p)) for p in d[3]] for d in done]}
+
+    return map_rows(spread(df.select(key, text, label), [key]), schema, work)
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its main language, confidence, and segments by language."""
+    return languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, lang_code of missing and wrong labels and of mixed texts."""
+    rows = languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    rows = rows.select("doc_id", F.explode("cases").alias("kind"), "main_lang", F.array_distinct(F.transform("segments", lambda p: p["lang_code"])).alias("all"))
+    return rows.select("doc_id", "kind", F.explode(F.when(F.col("kind") == "mixed", F.col("all")).otherwise(F.array("main_lang"))).alias("lang_code"))
+
+
 # -- p7: oversized texts
 
 
@@ -133,7 +204,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_units": p5_units, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_languages": p10_languages}
 ORACLES = {
     "p7_found": "SELECT 'article' AS item, row_id AS row_key FROM articles WHERE length(xhtml_md) > 700 UNION ALL SELECT 'chunk' AS item, id AS row_key FROM article_chunks WHERE length(chunk_text) > 700",
 }
