@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Danish stop words of the published Snowball list.
 STOP_WORDS = frozenset(
@@ -56,7 +57,7 @@ def simple_lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(lists: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,13 +34,13 @@ def right_size(v: Column, dims: int) -> Column:
     return F.coalesce(F.size(v) == dims, F.lit(False)) & v.isNotNull()
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats as an array; null for null and for lengths that are no multiple of four."""
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """An array of floats as little-endian bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

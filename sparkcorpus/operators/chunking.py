@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcorpus.functions import text as tx
 
@@ -76,7 +77,7 @@ def pack_sentences(heading: str, content: str, least: int = 5, size: int = 250,
 
 
 def _semantic(size: int, overlap: int, least: int):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def packed(parts: pd.Series) -> pd.Series:
         def one(sections) -> list[str]:
             return [c for s in (sections if sections is not None else []) for c in pack_sentences(s["heading"], s["content"], least, size, overlap)]

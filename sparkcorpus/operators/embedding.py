@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcorpus.functions.text import is_blank
 
@@ -118,7 +119,7 @@ def embedded(df: DataFrame, text_col: str, model: str, out: str = "embedding", m
     so texts and vectors can't shift against each other."""
     dims = dimensions(model)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = provider(model, make)
         for texts in batches:

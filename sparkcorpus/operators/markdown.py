@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcorpus.functions.text import metadata_appendix, strip
 
@@ -116,7 +117,7 @@ def html_to_markdown(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^[ \t]+$", "", text)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markdown_of(bodies: pd.Series) -> pd.Series:
     return bodies.map(html_to_markdown)
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from sparkcorpus.plans import problems
+from sparkcorpus.plans import problems, reference
 
 #: The query that ``entry`` runs.
-FLAGSHIP = "p1_found"
+FLAGSHIP = "hybrid_topk"
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return reference.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.ORACLES)
