@@ -42,6 +42,8 @@ _SEEDS = {
 TRAIN_ROWS, TRAIN_SENTENCES, DICTIONARY = 12_000, 2_500, 40_000
 #: A unit is decided only if the best output is smaller than the next by this share and this many bytes.
 MARGIN, MARGIN_BYTES = 0.2, 3
+#: Units whose answer a worker remembers; the memory is emptied when full.
+REMEMBERED = 100_000
 #: A sampled sentence fills a dictionary if its own label is likelier than any other by this (natural logarithm).
 CLEAR = 3.0
 LEVEL = 4
@@ -96,7 +98,7 @@ class CompressionClassifier:
 
     def _load(self) -> dict:
         if self._ready is None:
-            self._ready, self.scripts = {}, {}
+            self._ready, self.scripts, self.known = {}, {}, {}
             for code, content in self.dictionaries.items():
                 words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
@@ -120,18 +122,30 @@ class CompressionClassifier:
             self.by_script[scripts] = known
         return known
 
-    def sizes(self, text: str) -> dict[str, int]:
-        ready, raw = self._load(), _masked(text).encode("utf-8", "replace")
-        return {c: len(ready[c].compress(raw)) for c in self.candidates(text)}
+    def sizes(self, masked: str) -> dict[str, int]:
+        ready, raw = self._load(), masked.encode("utf-8", "replace")
+        return {c: len(ready[c].compress(raw)) for c in self.candidates(masked)}
 
     def classify(self, text: str) -> tuple[str, float, bool]:
-        """Best language, confidence (share by which the next best is larger), and whether the margin is wide enough."""
-        found = sorted((n, c) for c, n in self.sizes(text).items())
-        if len(found) == 1:
-            return found[0][1], 1.0, True
-        (best, code), (second, _) = found[:2]
-        confidence = (second - best) / max(second, 1)
-        return code, round(confidence, 4), confidence >= MARGIN and second - best >= MARGIN_BYTES
+        """Best language, confidence (share by which the next best is larger), and whether the margin is wide enough.
+
+        Units that are equal but for what is masked come out alike, so a worker remembers the last ones.
+        """
+        masked = _masked(text)
+        known = self.known.get(masked) if self._ready else None
+        if known is None:
+            found = sorted((n, c) for c, n in self.sizes(masked).items())
+            if len(found) == 1:
+                known = found[0][1], 1.0, True
+            else:
+                (best, code), (second, _) = found[:2]
+                confidence = (second - best) / max(second, 1)
+                known = code, round(confidence, 4), confidence >= MARGIN and second - best >= MARGIN_BYTES
+            if len(masked) < 500:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[masked] = known
+        return known
 
 
 def _filled(pools: dict[str, list[str]], rng: random.Random) -> dict[str, bytes]:
