@@ -32,7 +32,7 @@ def _best_of(index: DataFrame, names: list, q: np.ndarray, dims: int, k: int) ->
             x, length, ids = x[good], length[good], ids[good]
             if not len(ids):
                 continue
-            far = np.round(1 - (q @ x.T) / (norms[:, None] * length[None, :]), 6)
+            far = np.round(1 - (q @ x.T) / (norms[:, None] * length[None, :]), 6) + 0.0  # no negative zeros
             top = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :k]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(far, top, axis=1).ravel())], names=["query", "id", "distance"])
 

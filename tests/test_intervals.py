@@ -31,7 +31,7 @@ def as_ranges(values):
 interval = st.tuples(st.sampled_from([1, 2, None]), st.one_of(st.none(), st.integers(-30, 30)), st.one_of(st.none(), st.integers(-30, 30)))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(interval, max_size=12), st.lists(interval, max_size=12), st.sampled_from([None, 7]))
 def test_subtract_and_merge(spark, available, processed, width):
     a, p = spark.createDataFrame(available, SCHEMA), spark.createDataFrame(processed, SCHEMA)

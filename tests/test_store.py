@@ -1,6 +1,7 @@
 import json
 import sqlite3
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -166,7 +167,8 @@ def test_interchange(spark, tmp_path, places):
     full = str(tmp_path / "full")
     assert cli.dump_articles(store, full) == {"total_articles": 2, "dumped": 2}
     assert jsonl.header(spark, full)["mode"] == "full"
-    assert [json.loads(r[0]).get("id") for r in spark.read.text(full).collect()] == [None, 1, 2]
+    lines = [line for part in sorted(Path(full).glob("part-*")) for line in part.read_text().splitlines()]
+    assert [json.loads(line).get("id") for line in lines] == [None, 1, 2]
     back = jsonl.read_articles(spark, full)
     assert {r["id"] for r in back.where("valid").collect()} == {1, 2}
     vectors = str(tmp_path / "vectors")
