@@ -61,3 +61,50 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
+
+# -- the same in SQL: notations by pattern, offsets by trial (summer time where the clock then shows the value, else standard time)
+
+_WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ZONE = r"(Z|UTC|GMT|CEST|CET|[+-]\d{2}(?::?\d{2})?)?"
+_TIME = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)? *" + _ZONE
+_SHAPES = (
+    (r"(?i)^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:(?:T| +)" + _TIME + r"(?:\[[A-Za-z_/+-]+\])?)?$", r"\1|\2|\3|\4|\5|\6|\7|\8"),
+    (r"(?i)^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})" + _ZONE + "$", r"\1|\2|\3|\4|\5|\6||\7"),
+    (r"(?i)^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:(?:T|,? +)(?:kl\.? *)?" + _TIME + ")?$", r"\3|\2|\1|\4|\5|\6|\7|\8"),
+    (r"(?i)^(?:\pL{2,9}\.?,? +)?(\d{1,2})\.? +(\pL{3,9}),? +(\d{4})(?:,? +(?:kl\.? *)?" + _TIME + ")?$", r"\3|\2|\1|\4|\5|\6|\7|\8"),
+)
+
+
+def _instants_sql(source: str) -> str:
+    """SQL for feed, row_key, utc_us from a table expression with feed, row_key, v; null where a value denotes no instant."""
+    parts = " ".join(f"WHEN regexp_matches(t, '{p}') THEN regexp_replace(t, '{p}', '{g}')" for p, g in _SHAPES)
+    return rf"""(WITH t AS (SELECT feed, row_key, regexp_replace(regexp_replace(v, '^{_WS}+', ''), '{_WS}+$', '') AS t FROM {source}),
+    p AS (SELECT feed, row_key, t, string_split(CASE {parts} END, '|') AS p FROM t),
+    m AS (SELECT *, CASE WHEN regexp_matches(p[2], '^\d+$') THEN lpad(p[2], 2, '0') ELSE lpad(((strpos('janfebmaraprmajjunjulaugsepoktnovdec', replace(replace(lower(left(p[2], 3)), 'may', 'maj'), 'oct', 'okt')) + 2) // 3)::VARCHAR, 2, '0') END AS month, upper(p[8]) AS z FROM p),
+    w AS (SELECT feed, row_key, t, z, CASE WHEN p[1] <> '0000' THEN epoch_us(try_cast(p[1] || '-' || month || '-' || lpad(p[3], 2, '0') || ' ' || lpad(p[4], 2, '0') || ':' || lpad(p[5], 2, '0') || ':' || lpad(p[6], 2, '0') || '.' || rpad(left(p[7], 6), 6, '0') AS TIMESTAMP)) END AS us FROM m),
+    o AS (SELECT *, CASE WHEN z IN ('Z', 'UTC', 'GMT') THEN 0 WHEN z = 'CET' THEN 60 WHEN z = 'CEST' THEN 120 WHEN z <> '' THEN (CASE WHEN left(z, 1) = '-' THEN -1 ELSE 1 END) * (substring(z, 2, 2)::INT * 60 + CASE WHEN length(replace(z, ':', '')) > 3 THEN right(z, 2)::INT ELSE 0 END) END AS off FROM w)
+    SELECT feed, row_key, CASE WHEN regexp_matches(t, '^-?\d{{6,11}}$') THEN t::BIGINT * 1000000 WHEN regexp_matches(t, '^-?\d{{12,14}}$') THEN t::BIGINT * 1000 WHEN off IS NOT NULL THEN us - off::BIGINT * 60000000
+        WHEN timezone('Europe/Copenhagen', make_timestamptz(us - 7200000000)) = make_timestamp(us) THEN us - 7200000000 ELSE us - 3600000000 END AS utc_us FROM o)"""
+
+
+_ARTICLE_VALUES = "(SELECT 'article' AS feed, row_id AS row_key, changed_at AS v FROM articles)"
+_SITEMAP_VALUES = "(SELECT 'sitemap' AS feed, entry_id AS row_key, lastmod AS v FROM sitemap_entries)"
+_CHANGES = """SELECT '{feed}' AS feed, s.snapshot_no, s.record_key, s.change_type FROM (WITH r AS ({rows}),
+    n AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM r)),
+    a AS (SELECT r.* FROM r JOIN n USING (snapshot_no) WHERE n.before IS NOT NULL), b AS (SELECT n.snapshot_no, r.record_key, r.state FROM r JOIN n ON r.snapshot_no = n.before)
+    SELECT coalesce(a.snapshot_no, b.snapshot_no) AS snapshot_no, coalesce(a.record_key, b.record_key) AS record_key,
+        CASE WHEN b.record_key IS NULL THEN 'added' WHEN a.record_key IS NULL THEN 'removed' WHEN a.state <> b.state THEN 'changed' END AS change_type
+    FROM a FULL OUTER JOIN b ON a.snapshot_no = b.snapshot_no AND a.record_key = b.record_key) s WHERE s.change_type IS NOT NULL"""
+_SITEMAP_ROWS = f"""SELECT s.snapshot_no, coalesce(s.encyclopedia_id, e.encyclopedia_id) || '/' || s.permalink AS record_key, coalesce(max(i.utc_us)::VARCHAR, '-') AS state FROM sitemap_entries s
+    JOIN {_instants_sql(_SITEMAP_VALUES)} i ON i.row_key = s.entry_id LEFT JOIN encyclopedias e ON e.host = lower(regexp_extract(s.url, '^[A-Za-z]+://([^/?#]*)', 1)) GROUP BY ALL"""
+_METADATA_ROWS = """SELECT snapshot_no, id::VARCHAR AS record_key, coalesce(epoch_us(changed_at)::VARCHAR, '-') || '|' || coalesce(permalink, '-') || '|' || coalesce(encyclopedia_id::VARCHAR, '-') AS state FROM article_metadata
+    QUALIFY row_number() OVER (PARTITION BY snapshot_no, id ORDER BY changed_at DESC NULLS LAST, permalink DESC NULLS LAST, encyclopedia_id DESC NULLS LAST) = 1"""
+
+ORACLES = {
+    "p1_found": _CHANGES.format(feed="sitemap", rows=_SITEMAP_ROWS) + " UNION ALL " + _CHANGES.format(feed="metadata", rows=_METADATA_ROWS),
+    "p2_found": rf"""SELECT id AS article_id, CASE WHEN c.u IS NULL THEN 'added' ELSE 'changed' END AS reason FROM
+        (SELECT a.id, a.xhtml_md, i.utc_us FROM articles a JOIN {_instants_sql(_ARTICLE_VALUES)} i ON i.row_key = a.row_id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY i.utc_us DESC NULLS LAST, a.received_at DESC, a.row_id DESC) = 1) a
+        LEFT JOIN (SELECT source_article_id, min(epoch_us(last_updated)) AS u FROM article_chunks GROUP BY 1) c ON c.source_article_id = a.id
+        WHERE regexp_matches(coalesce(a.xhtml_md, ''), '[^\s\x0B\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]') AND (c.u IS NULL OR a.utc_us > c.u)""",
+    "p6_found": f"SELECT * FROM (SELECT * FROM {_instants_sql(_ARTICLE_VALUES)} UNION ALL SELECT * FROM {_instants_sql(_SITEMAP_VALUES)}) WHERE utc_us IS NOT NULL",
+}

@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reference.ORACLES)
+    return reference.ORACLES | problems.ORACLES

@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from sparkcorpus.session import build_session
 
     folder = tmp_path_factory.mktemp("spark")
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=str(folder / "shared"), spark__sql__warehouse__dir=str(folder / "warehouse"))
+    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="2", spark__checkpoint__dir=str(folder / "shared"), spark__sql__warehouse__dir=str(folder / "warehouse"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
