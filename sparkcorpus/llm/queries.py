@@ -206,5 +206,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_units": p5_units, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_languages": p10_languages}
 ORACLES = {
+    "p4_found": """WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM article_chunks WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        n AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 10)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE sim >= 0.92""",
     "p7_found": "SELECT 'article' AS item, row_id AS row_key FROM articles WHERE length(xhtml_md) > 700 UNION ALL SELECT 'chunk' AS item, id AS row_key FROM article_chunks WHERE length(chunk_text) > 700",
 }
