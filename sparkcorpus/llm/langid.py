@@ -8,12 +8,12 @@ language of their surroundings, and the text's main language is the one with mos
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import unicodedata
-from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import zstandard
 
 from sparkcorpus.llm.sentences import sentences
@@ -39,16 +39,18 @@ _SEEDS = {
     "ar": "لا يمكن القول متى تأسست المدينة، ولكن هناك العديد من المصادر القديمة عنها، ومعظمها مكتوب باللغة العربية.",
 }
 #: Bounds of the fit: labelled rows sampled from the table, sentences looked at and bytes kept for each language.
-TRAIN_ROWS, TRAIN_SENTENCES, DICTIONARY = 12_000, 2_500, 40_000
+TRAIN_ROWS, TRAIN_SENTENCES, DICTIONARY = 10_000, 3_500, 80_000
 #: A unit is decided only if the best output is smaller than the next by this share and this many bytes.
 MARGIN, MARGIN_BYTES = 0.2, 3
 #: Units whose answer a worker remembers; the memory is emptied when full.
 REMEMBERED = 100_000
 #: A sampled sentence fills a dictionary if its own label is likelier than any other by this (natural logarithm).
 CLEAR = 3.0
+#: Texts of each label that the second fit looks at, and the confidence with which the first may speak against a unit of theirs.
+SECOND_TEXTS, AGAINST = 300, 0.35
 LEVEL = 4
 #: A sentence is novel to a dictionary if its output is larger than this share of it.
-NOVEL = 0.3
+NOVEL = 0.33
 
 
 def label_language(label: str | None) -> str | None:
@@ -76,6 +78,7 @@ def _script(text: str) -> frozenset[str]:
 
 _NAME = re.compile(r"(?<=\S[ \n])[^\W\d_a-zæøåäöüéèñß]{1}[^\W\d_]{3,}")
 _DIGITS = re.compile(r"\d+")
+_ODD = re.compile(r"[^\w\s.,]|\d")
 
 
 def _masked(text: str) -> str:
@@ -175,40 +178,67 @@ def _units(text: str) -> list[str]:
 
 
 def _agreeing(pools: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Sentences whose letter triples are, relative to each label's own, likeliest under the label they came with.
+    """Sentences whose letter triples are more at home under the label they came with than under any other.
 
     A wrong label puts a sentence among many right ones, where its triples are rare, so a share of wrong labels well
     below half does no harm.
     """
-    triples = lambda s: {s[i : i + 3] for i in range(-2 + len(s))}
-    counts = {code: Counter(t for x in [*pool, _SEEDS[code]] for t in triples(x.lower())) for code, pool in pools.items()}
-    sizes = {code: len(pools[code]) + 1 for code in counts}
+    triples = lambda s: {s[i : i + 3] for i in range(len(s) - 2) if not _ODD.search(s[i : i + 3])}
+    codes = list(pools)
+    at: dict[str, int] = {}
+    found = {c: [(x, np.fromiter((at.setdefault(t, len(at)) for t in triples(_masked(x).lower())), np.int64)) for x in pools[c]] for c in codes}
+    seeds = {c: np.fromiter((at.setdefault(t, len(at)) for t in triples(_SEEDS[c].lower())), np.int64) for c in codes}
+    counts = np.zeros((len(at), len(codes)))
+    for k, c in enumerate(codes):
+        np.add.at(counts[:, k], np.concatenate([seeds[c], *[i for _, i in found[c]]]), 1)
+    sizes = np.array([len(pools[c]) for c in codes]) + 2.0
+    score, without = np.log((counts + 0.2) / sizes), np.log((np.maximum(counts - 1, 0) + 0.2) / sizes)
     out = {}
-    for code, pool in pools.items():
-        kept = []
-        for x in sorted(set(pool)):
-            own = triples(x.lower())
-            score = {c: sum(math.log((counts[c].get(t, 0) + 0.05) / (sizes[c] + 1)) for t in own) for c in counts}
-            others = max((v for c, v in score.items() if c != code), default=-math.inf)
-            if score[code] > others + CLEAR:
-                kept.append(x)
-        out[code] = kept
+    for k, c in enumerate(codes):
+        kept = set()
+        for x, own in found[c]:
+            total = score[own].sum(axis=0)
+            # a sentence doesn't speak for itself: under its own label it is left out of the counts
+            mine, total[k] = without[own, k].sum(), -np.inf
+            if mine > total.max() + CLEAR:
+                kept.add(x)
+        out[c] = sorted(kept)
     return out
 
 
-def fit(rows: list[tuple[str | None, str | None]], seed: int = 11) -> CompressionClassifier:
-    """From labelled rows: dictionaries of each label's sentences, without those that speak another label's language."""
+def units_of(text: str | None) -> list[str]:
+    """The sentence units of a text that the fit looks at: no headings, at least eight letters."""
+    return _units(text) if text else []
+
+
+def fit(rows: Iterable[tuple[str | None, list[str]]], seed: int = 11) -> CompressionClassifier:
+    """From labels and the units of their texts, in two rounds.
+
+    The first dictionaries hold the sentences whose letter triples are likeliest under their own label. The second are
+    filled from texts whose label agrees with what the first say about most of their letters, without units that the
+    first clearly give to another language; so neither wrong labels nor quoted languages get in, and rare phrases stay.
+    """
     rng = random.Random(seed)
-    pools: dict[str, list[str]] = {code: [] for code in NAMES}
-    for label, text in rows:
+    texts: dict[str, list[list[str]]] = {code: [] for code in NAMES}
+    for label, units in rows:
         code = label_language(label)
-        if code in NAMES and text and len(pools[code]) < 20 * TRAIN_SENTENCES:
-            pools[code] += _units(text)
-    for code, pool in pools.items():
-        # repeats stay: how often a sentence comes under each label is what tells a wrong label
-        rng.shuffle(pool)
-        pools[code] = pool[:TRAIN_SENTENCES]
-    return CompressionClassifier(_filled(_agreeing(pools), rng))
+        if code in NAMES and units:
+            texts[code].append(units)
+    for own in texts.values():
+        rng.shuffle(own)
+    # repeats stay: how often a sentence comes under each label is what tells a wrong label
+    first = CompressionClassifier(_filled(_agreeing({c: [u for units in own for u in units][:TRAIN_SENTENCES] for c, own in texts.items()}), rng))
+    pools: dict[str, list[str]] = {}
+    for code, own in texts.items():
+        for units in own[:SECOND_TEXTS]:
+            units = units[:100]
+            said = [first.classify(u) for u in units]
+            length: dict[str, int] = {}
+            for u, (found, _, _) in zip(units, said):
+                length[found] = length.get(found, 0) + len(u)
+            if max(length, key=length.get) == code:
+                pools.setdefault(code, []).extend(u for u, (found, confidence, _) in zip(units, said) if found == code or confidence < AGAINST)
+    return CompressionClassifier(_filled(pools, rng))
 
 
 def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, str, float]]:

@@ -96,11 +96,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted_languages(df: DataFrame, key: str, text: str, label: str) -> langid.CompressionClassifier:
-    """Dictionaries from at most about ``langid.TRAIN_ROWS`` labelled rows, chosen by a hash of their key."""
+    """Dictionaries from at most about ``langid.TRAIN_ROWS`` labelled rows, chosen by a hash of their key; their texts are cut into units by the executors."""
     rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
     share = min(1.0, langid.TRAIN_ROWS / max(df.count(), 1))
     sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(label, text)
-    return langid.fit([(r[0], r[1]) for r in sample.toLocalIterator()])
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        return {"label": batch.column(label), "units": [langid.units_of(t) for t in batch.column(text).to_pylist()]}
+
+    units = map_rows(spread(sample, [text]), _fields(("label", T.StringType()), ("units", T.ArrayType(T.StringType()))), work)
+    return langid.fit(sorted((r[0], r[1]) for r in units.collect()))
 
 
 def languages(df: DataFrame, key: str, text: str, label: str, model: langid.CompressionClassifier | None = None) -> DataFrame:
