@@ -137,20 +137,20 @@ class IntervalLedger:
 
     def pending(self, source: DataFrame, number: str) -> DataFrame:
         """Rows of ``source`` whose sequence number no published run has processed; a null number is never due."""
-        gaps = subtract_intervals(ranges_of(source, number, width=self.width), self.processed(), [], width=self.width)
-        return self._within(source, number, gaps)
+        return self._within(source, number, self._gaps(source, number))
+
+    def _gaps(self, source: DataFrame, number: str) -> DataFrame:
+        return subtract_intervals(ranges_of(source, number, width=self.width), self.processed(), [], width=self.width)
 
     def run(self, source: DataFrame, number: str, process: Callable[[DataFrame], DataFrame]) -> int | None:
         """Process what is pending and publish; the new version, or None where another run published first."""
         base = self.version()
-        due = self.pending(source, number)
         folder = f"runs/{base + 1:08d}-{uuid.uuid4().hex}"
-        ranges = ranges_of(due, number, width=self.width)
-        merge_intervals(self.processed().unionByName(ranges), [], width=self.width).write.parquet(f"{self.root}/{folder}/intervals")
-        merged = self.spark.read.parquet(f"{self.root}/{folder}/intervals")
-        # what is processed is what the written intervals claim, even if the source grew meanwhile
-        claimed = subtract_intervals(merged, self.processed(), [], width=self.width)
-        process(self._within(due, number, claimed)).write.parquet(f"{self.root}/{folder}/output")
+        # the gaps are written first: what is processed is what they claim, even if the source grows meanwhile
+        self._gaps(source, number).write.parquet(f"{self.root}/{folder}/gaps")
+        gaps = self.spark.read.schema("lo long, hi long").parquet(f"{self.root}/{folder}/gaps")
+        merge_intervals(self.processed().unionByName(gaps), [], width=self.width).write.parquet(f"{self.root}/{folder}/intervals")
+        process(self._within(source, number, gaps)).write.parquet(f"{self.root}/{folder}/output")
         pending = self._path(f"{folder}/_commit")
         stream = self._fs.create(pending, False)
         stream.write(bytearray(json.dumps({"folder": folder, "base": base}).encode()))
