@@ -61,7 +61,7 @@ def articles_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = current_articles(spark, sf_dir, "headword", "permalink", "encyclopedia_id").join(ids, "id", "left_semi")
     rows = docs.join(table(spark, sf_dir, "encyclopedias").select("encyclopedia_id", "url_base"), "encyclopedia_id", "left")
     url = F.when(F.coalesce("permalink", F.lit("")) != "", F.concat("url_base", "permalink"))
-    return rows.select("id", "headword", url.alias("url"), F.lit(0.0).alias("rank"), F.lit(docs.count()).alias("total"))
+    return rows.select("id", "headword", url.alias("url"), F.lit(0.0).alias("rank"), F.lit(docs.count()).cast("long").alias("total"))
 
 
 @query(f"SELECT id, coalesce(epoch_us(received_at), 0) AS changed_us FROM {_ARTICLES} a")
