@@ -3,7 +3,9 @@
 A text is read once into spans (code, formulas, residue, plain). Code spans and blocks stay as they are; residue is
 counted by kind and rewritten as Markdown. The rewritten text is then cut into blocks and classified in two passes:
 length, link density and stop-word density decide clear blocks, and short or ambiguous ones take the label of the
-nearest decided neighbours. Blocks that end up as residue and came only from markup containers are left out.
+nearest decided neighbours. Blocks that end up as residue and came only from markup containers (HTML elements that
+group things, wiki tables, templates) are left out; headings, code, formulas, lists and tables that are not mostly links
+stay wherever they stand.
 """
 
 from __future__ import annotations
@@ -51,6 +53,11 @@ _QUOTES = re.compile(r"(?<![\w'])('{5}|'{3}|'{2})(?=[^\s'])([^\n]{0,400}?[^\s'])
 _FILE = re.compile(r"^(?:fil|file|image|billede|bild|datei|fichier|archivo|imagen|kategori|category|kategorie|catégorie|categoría)\s*:", re.I)
 _AUTOLINK = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>|<[\w.+-]+@[\w.-]+>")
 _MARK = "\ue000"
+#: Private-use marks around what came from a container, and around the text of a wiki link.
+_IN, _OUT, _LINKED, _UNLINKED = "\ue001", "\ue002", "\ue003", "\ue004"
+_PRIVATE = re.compile("[\ue000-\ue004]")
+# Elements that group things rather than hold running text.
+_CONTAINERS = frozenset("nav aside header footer form menu select table ul ol dl div".split())
 
 
 def code_spans(text: str) -> list[tuple[int, int]]:
@@ -119,6 +126,12 @@ class _Reader:
             text = new
         return text
 
+    def stays(self, block: str) -> bool:
+        """Headings, code, formulas, and lists and tables that are not mostly links."""
+        if re.match(r"\s*#{1,6} ", block) or any(self.kept[int(k)].lstrip()[:1] in ("`", "~", "$") for k in re.findall(f"{_MARK}(\\d+){_MARK}", block)):
+            return True
+        return _is_list(block) and not _mostly_links(block)
+
     # -- LaTeX
 
     def formula(self, body: str, display: bool) -> str:
@@ -197,13 +210,13 @@ class _Reader:
             return "\n".join(f"{_MARK}b{_MARK}- {k.strip()}: {v.strip()}" for k, v in named)
         if re.match(r"(?:kilde|source|cite|ref|citation|fact)\b", name.strip(), re.I):
             return ""
-        return " ".join(a.strip() for a in args)
+        return _IN + " ".join(a.strip() for a in args) + _OUT
 
     def link(self, m: re.Match) -> str:
         target, rest = m.group(1).strip(), m.group(2)
         if _FILE.match(target):
             return ""
-        return rest.rsplit("|", 1)[-1].strip() or target.rsplit("#", 1)[-1]
+        return _LINKED + (rest.rsplit("|", 1)[-1].strip() or target.rsplit("#", 1)[-1]) + _UNLINKED
 
     def table(self, m: re.Match) -> str:
         rows: list[list[str]] = [[]]
@@ -215,14 +228,15 @@ class _Reader:
                 continue
             elif line[:1] in ("|", "!"):
                 rows[-1] += [c.strip() for c in re.split(r"\|\||!!", line[1:])]
-        return _pipe_table([r for r in rows if r])
+        return f"\n{_IN}\n{_pipe_table([r for r in rows if r])}\n{_OUT}\n"
 
     # -- HTML
 
     def markup(self) -> None:
         self.sub(_COMMENT, "html", lambda m: "")
         held = _AUTOLINK.sub(lambda m: self.keep(m.group()), self.text)
-        out, at, rows, link = [], 0, None, []
+        out, at, link, opened = [], 0, [], []
+        waiting = dict.fromkeys(_CONTAINERS, 0)
         for m in _TAG.finditer(held):
             name, closing = m.group(2).lower(), bool(m.group(1))
             if name not in _TAGS:
@@ -230,13 +244,28 @@ class _Reader:
             self.counts["html"] += 1
             out.append(held[at : m.start()])
             at = m.end()
-            if re.fullmatch("h[1-6]", name):
+            if name in _CONTAINERS:
+                # only an element that is closed is a container; until then its place stays empty
+                if not closing:
+                    out += ["\n\n", ""]
+                    opened.append((name, len(out) - 1))
+                    waiting[name] += 1
+                else:
+                    while waiting[name]:
+                        last, place = opened.pop()
+                        waiting[last] -= 1
+                        if last == name:
+                            out[place] = f"{_IN}\n"
+                            out.append(f"\n{_OUT}")
+                            break
+                    out.append("\n\n")
+            elif re.fullmatch("h[1-6]", name):
                 out.append("\n\n" if closing else f"\n\n{'#' * int(name[1])} ")
             elif name == "li":
                 out.append("" if closing else "\n- ")
             elif name == "br":
                 out.append("\n")
-            elif name in ("p", "div", "ul", "ol", "table", "blockquote", "section", "article", "pre"):
+            elif name in ("p", "blockquote", "section", "article", "pre"):
                 out.append("\n\n")
             elif name == "tr":
                 out.append("" if closing else "\n|")
@@ -292,18 +321,30 @@ def _pipe_table(rows: list[list[str]]) -> str:
 
 _URLS = re.compile(r"\[([^\[\]\n]{0,500})\]\([^()\n]{0,2000}\)")
 _WORDS = re.compile(r"[^\W\d_]+")
+_ITEM = re.compile(r"[ \t]*(?:[-*+|]|\d+[.)])")
+_STOPPED = re.compile(r"[^\W\d_][.!?…](?:\s|$)|[。！？]")
 #: A block with fewer characters is short; with more than LONG and enough stop words it is text; stop words and links are shares of words and characters.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINK_HIGH = 60, 200, 0.10, 0.22, 0.4
 
 
+def _mostly_links(block: str) -> bool:
+    """Whether more than a fixed share of the characters is the text of links."""
+    linked = sum(len(m.group(1)) for m in _URLS.finditer(block))
+    return linked / max(len(_URLS.sub(r"\1", block)), 1) > LINK_HIGH
+
+
+def _is_list(block: str) -> bool:
+    """Whether every line is a list item or a table row."""
+    return all(_ITEM.match(line) for line in block.split("\n") if line.strip())
+
+
 def _first_label(block: str, boxed: bool) -> str:
     """text, residue, near (leaning to text) or short: the first pass, from the block alone."""
-    linked = sum(len(m.group(1)) for m in _URLS.finditer(block))
     plain = _URLS.sub(r"\1", block)
     words = _WORDS.findall(plain)
     if boxed or not words:
         return "residue" if boxed else "short"
-    if linked / max(len(plain), 1) > LINK_HIGH:
+    if _mostly_links(block):
         return "residue"
     if len(plain) < SHORT:
         return "short"
@@ -312,7 +353,9 @@ def _first_label(block: str, boxed: bool) -> str:
     share = sum(w.lower() in _STOP for w in words) / len(words)
     if share >= STOP_HIGH:
         return "text" if len(plain) > LONG else "near"
-    return "near" if share >= STOP_LOW else ("residue" if len(plain) > LONG and share == 0 else "short")
+    # lists and tables have no stop words, nor have sentences in a language that is not listed
+    bare = len(plain) > LONG and share == 0 and not _STOPPED.search(plain) and not _is_list(plain)
+    return "near" if share >= STOP_LOW else ("residue" if bare else "short")
 
 
 def label_blocks(blocks: list[str], boxed: list[bool]) -> list[str]:
@@ -342,18 +385,32 @@ def clean(text: str | None) -> tuple[str | None, dict[str, int], int]:
     """Clean text, residue found by kind, and the number of blocks left out. Null gives null and no residue."""
     if text is None:
         return None, dict.fromkeys(KINDS, 0), 0
-    reader = _Reader(text.replace("\r\n", "\n").replace("\r", "\n").replace(_MARK, ""))
+    reader = _Reader(_PRIVATE.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
     reader.sub(_COMMENT, "html", lambda m: "")
     reader.latex()
     reader.markup()
     reader.wiki()
     flag = f"{_MARK}b{_MARK}"
-    raw = [b.strip("\n") for b in re.split(r"\n[ \t]*\n", reader.text)]
-    raw = [b for b in raw if b.strip()]
+    raw, contained, depth = [], [], 0
+    for b in re.split(r"\n[ \t]*\n", reader.text):
+        inside = True
+        for piece in re.split(f"([{_IN}{_OUT}])", b):
+            if piece in (_IN, _OUT):
+                depth += 1 if piece == _IN else -1
+            elif piece.strip() and not depth:
+                inside = False
+        b = b.replace(_IN, "").replace(_OUT, "").strip("\n")
+        if b.strip():
+            raw.append(b)
+            contained.append(inside)
     boxed = [flag in b and all(line.startswith(flag) for line in b.split("\n") if line.strip()) for b in raw]
-    plain = [b.replace(flag, "") for b in raw]
-    labels = label_blocks(plain, boxed)
+    raw = [b.replace(flag, "") for b in raw]
+    # to the rules a wiki link is a link like any other
+    read = [b.replace(_LINKED, "[").replace(_UNLINKED, "]()") for b in raw]
+    labels = label_blocks(read, boxed)
+    plain = [b.replace(_LINKED, "").replace(_UNLINKED, "") for b in raw]
     # only what came from a markup container may be left out: running text is never lost
-    kept = [b for b, label, box in zip(plain, labels, boxed) if label == "text" or not box]
+    out = [label == "residue" and (box or inside and not reader.stays(b)) for b, label, box, inside in zip(read, labels, boxed, contained)]
+    kept = [b for b, leave in zip(plain, out) if not leave]
     body = "\n\n".join(re.sub(r"[ \t]{2,}", " ", b).rstrip() if not re.match(r"\s", b) else b for b in kept)
     return reader.restored(body), reader.counts, len(plain) - len(kept)

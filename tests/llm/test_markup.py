@@ -41,6 +41,41 @@ def test_blocks_inherit_from_neighbours():
     assert label_blocks([], []) == []
 
 
+PROSE = "Det er en by ved havet, og den har en kirke og en havn, som var der i middelalderen. " * 4
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        "<div class=\"nav\"><a href=\"/a\">Forside</a> <a href=\"/b\">Kontakt</a></div>",
+        "<ul><li><a href=\"/a\">Forside</a></li><li><a href=\"/b\">Kontakt</a></li></ul>",
+        "{|\n| [[Aarhus by]] || [[Randers by]]\n|}",
+        "{{navboks|[[Aarhus by]]|[[Randers by]]}}",
+        "<nav><a href=\"/a\">Forside</a>\n\nVis\n\n<a href=\"/b\">Kontakt</a></nav>",
+    ],
+)
+def test_residue_of_containers_is_left_out(box):
+    out, counts, left = clean(f"{PROSE}\n\n{box}\n\n{PROSE}")
+    assert out.split() == (PROSE * 2).split() and left and any(counts.values())
+
+
+@pytest.mark.parametrize(
+    "text,has",
+    [
+        (f"<div>{PROSE}</div>", PROSE.strip()),
+        ("<div><h2>Navn</h2></div>", "## Navn"),
+        ("<div>\n\n<a href=\"/a\">Forside</a>\n\n$x^2$\n\n<a href=\"/b\">Kontakt</a></div>", "$x^2$"),
+        ("<ul>" + "".join(f"<li>Navn Navnesen {i}</li>" for i in range(30)) + "</ul>", "- Navn Navnesen 29"),
+        ("<table><tr><td>Aarhus</td><td>300</td></tr></table>", "| Aarhus | 300 |"),
+        ("<div>" + "Helsingissä asuu paljon ihmisiä. " * 9 + "</div>", "Helsingissä asuu paljon ihmisiä."),
+        ("Se [a](b) [c](d).\n\n<div>uden slut\n\n[a](b)", "[a](b)"),
+        ("<p><a href=\"/a\">Byen</a></p>", "[Byen](/a)"),
+    ],
+)
+def test_content_of_containers_stays(text, has):
+    assert has in clean(text)[0]
+
+
 def test_code():
     text = "a `b` ``c ` d`` e ` f\n\n```x\n`y`\n```\nz `w`"
     assert [text[a:b] for a, b in code_spans(text)] == ["`b`", "``c ` d``", "```x\n`y`\n```", "`w`"]
