@@ -3,7 +3,8 @@
 A text is read once into spans (code, formulas, residue, plain). Code spans and blocks stay as they are; residue is
 counted by kind and rewritten as Markdown. The rewritten text is then cut into blocks and classified in two passes:
 length, link density and stop-word density decide clear blocks, and short or ambiguous ones take the label of the
-nearest decided neighbours. Blocks that end up as residue and came only from markup containers (HTML elements that
+nearest decided neighbours. Marks are paired from precomputed positions or by a stack of open ones, so that a text takes
+linear time however long or deep they are. Blocks that end up as residue and came only from markup containers (HTML elements that
 group things, wiki tables, templates) are left out; headings, code, formulas, lists and tables that are not mostly links
 stay wherever they stand.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from html.entities import html5
 
 KINDS = ("html", "wiki", "latex")
@@ -37,19 +39,17 @@ _TICKS = re.compile(r"`+")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'|[^\s\"'=<>`]+))?)*)\s*(/?)>")
 _REFERENCE = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]{1,31}));")
-_DISPLAY = re.compile(r"(?<!\\)\$\$((?:(?!\n[ \t]*\n).){1,3000}?)(?<!\\)\$\$", re.S)
-_INLINE = re.compile(r"(?<![\\$\w])\$(?![\s$])((?:[^$\n\\]|\\.){1,500}?)(?<!\s)\$(?![\d$])")
-_ROUND = re.compile(r"\\\(((?:(?!\n[ \t]*\n).){1,1000}?)\\\)", re.S)
-_SQUARE = re.compile(r"\\\[((?:(?!\n[ \t]*\n).){1,3000}?)\\\]", re.S)
+_DISPLAY = re.compile(r"(?<!\\)(?=\$\$)")
+_INLINE = re.compile(r"(?<![\\$\w])\$(?![\s$])((?:[^$\n\\]++|\\.)++)(?<!\s)\$(?![\d$])")
+_BLANK = re.compile(r"\n(?=[ \t]*\n)")
 _MATHLIKE = re.compile(r"[=^_+<>/]|\\[A-Za-z]+|^\s*[A-Za-z]\s*$")
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
-_FORMULAS = re.compile(r"\\begin\{((?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}(.{0,5000}?)\\end\{\1\}", re.S)
+_FORMULAS = re.compile(r"\\(begin|end)\{((?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}")
 _COMMAND = re.compile(r"(?<![\w:\\/])\\([A-Za-z]+)(\*?)")
-_LINK = re.compile(r"\[\[([^\[\]\n|]{1,300})((?:\|[^\[\]\n]{0,600})?)\]\]")
-_TEMPLATE = re.compile(r"\{\{([^{}]{1,4000})\}\}")
+_WIKI = re.compile(r"\{+|\}+|\[+|\]+|\|")
 _TABLE = re.compile(r"^[ \t]*\{\|(.*?)(?:^[ \t]*\|\}|\Z)", re.M | re.S)
-_HEADING = re.compile(r"^(={2,6})[ \t]*([^=\n](?:[^\n]{0,300}?[^=\n])?)[ \t]{0,20}\1[ \t]*$", re.M)
-_QUOTES = re.compile(r"(?<![\w'])('{5}|'{3}|'{2})(?=[^\s'])([^\n]{0,400}?[^\s'])\1(?!')")
+_HEADING = re.compile(r"^(={2,6})([^=\n][^\n]*)$", re.M)
+_QUOTES = re.compile(r"'{2,}|\n")
 _FILE = re.compile(r"^(?:fil|file|image|billede|bild|datei|fichier|archivo|imagen|kategori|category|kategorie|catégorie|categoría)\s*:", re.I)
 _AUTOLINK = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>|<[\w.+-]+@[\w.-]+>")
 _MARK = "\ue000"
@@ -117,14 +117,31 @@ class _Reader:
 
         self.text = pattern.sub(one, self.text)
 
+    def pair(self, pairs: list[tuple[int, int, int, int]], kind: str, make) -> None:
+        """Rewrites what lies between paired marks: (start, start of the body, its end, end)."""
+        out, at = [], 0
+        for start, lo, hi, end in pairs:
+            new = make(self.text[lo:hi])
+            if new is not None:
+                self.counts[kind] += 1
+                out += [self.text[at:start], new]
+                at = end
+        if out:
+            self.text = "".join([*out, self.text[at:]])
+
     def restored(self, text: str) -> str:
         mark = re.compile(f"{_MARK}(\\d+){_MARK}")
-        while _MARK in text:
-            new = mark.sub(lambda m: self.kept[int(m.group(1))] if int(m.group(1)) < len(self.kept) else "", text)
-            if new == text:
-                break
-            text = new
-        return text
+        out, waiting = [], [(text, False)]
+        while waiting:
+            piece, kept = waiting.pop()
+            if kept:
+                piece = self.kept[int(piece)] if int(piece) < len(self.kept) else ""
+            parts = mark.split(piece)
+            if len(parts) == 1:
+                out.append(piece)
+            else:
+                waiting += [(x, k % 2 == 1) for k, x in reversed(list(enumerate(parts)))]
+        return "".join(out)
 
     def stays(self, block: str) -> bool:
         """Headings, code, formulas, and lists and tables that are not mostly links."""
@@ -139,84 +156,171 @@ class _Reader:
         return self.keep(f"$${body}$$" if display else f"${body}$")
 
     def latex(self) -> None:
-        self.sub(_FORMULAS, "latex", lambda m: self.formula(m.group(2), True))
-        self.sub(_DISPLAY, "latex", lambda m: self.formula(m.group(1), True) if "\n\n" not in m.group(1) else None)
-        self.sub(_SQUARE, "latex", lambda m: self.formula(m.group(1), True) if _MATHLIKE.search(m.group(1)) and "\n\n" not in m.group(1) else None)
-        self.sub(_ROUND, "latex", lambda m: self.formula(m.group(1), False) if "\n\n" not in m.group(1) else None)
+        self.pair(_environments(self.text), "latex", lambda body: self.formula(body, True))
+        at = [m.start() for m in _DISPLAY.finditer(self.text)]
+        self.pair(_paired(self.text, at, at), "latex", lambda body: self.formula(body, True))
+        self.pair(_paired(self.text, *_places(self.text, r"\[", r"\]")), "latex", lambda body: self.formula(body, True) if _MATHLIKE.search(body) else None)
+        self.pair(_paired(self.text, *_places(self.text, r"\(", r"\)")), "latex", lambda body: self.formula(body, False))
         self.sub(_INLINE, "latex", lambda m: self.formula(m.group(1), False))
         self.sub(_ENVIRONMENT, "latex", lambda m: "")
         self.text = self.commands(self.text)
 
     def commands(self, text: str) -> str:
-        out, at = [], 0
-        for m in _COMMAND.finditer(text):
-            if m.start() < at:
-                continue
+        """Rewritten commands; read from the last to the first, so that those in an argument are done before its command."""
+        close = _closers(text)
+        done: list[tuple[int, int, list, int]] = []
+        for m in reversed(list(_COMMAND.finditer(text))):
             name, args, end = m.group(1), [], m.end()
-            while end < len(text) and text[end] in "[{":
-                close = _closing(text, end)
-                if close is None:
-                    break
+            while end in close:
                 if text[end] == "{":
-                    args.append(text[end + 1 : close])
-                end = close + 1
+                    args.append((end + 1, close[end]))
+                end = close[end] + 1
             if not args and name not in _SYMBOLS:
                 continue
-            self.counts["latex"] += 1
-            out += [text[at : m.start()], self.command(name, args)]
-            at = end if args or name not in _SYMBOLS else m.end()
-        return "".join([*out, text[at:]]) if out else text
+            if not args:
+                end = m.end()
+            inner, count = [], 1
+            for lo, hi in args:
+                pieces, at = [], lo
+                while done and done[-1][0] < hi:
+                    start, stop, new, n = done.pop()
+                    if start >= lo:
+                        pieces += [text[at:start], new]
+                        at, count = stop, count + n
+                inner.append([*pieces, text[at:hi]])
+            while done and done[-1][0] < end:
+                done.pop()
+            done.append((m.start(), end, self.command(name, inner), count))
+        out, at = [], 0
+        for start, stop, new, n in reversed(done):
+            self.counts["latex"] += n
+            out += [text[at:start], new]
+            at = stop
+        return _flat([*out, text[at:]]) if out else text
 
-    def command(self, name: str, args: list[str]) -> str:
-        inner = [self.commands(a) for a in args]
+    def command(self, name: str, inner: list[list]) -> list:
         if name in _SYMBOLS:
-            return _SYMBOLS[name] + "".join(inner)
-        body = inner[-1] if inner else ""
+            return [_SYMBOLS[name], *inner]
+        body = inner[-1] if inner else []
         levels = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
         if name in levels:
-            return f"{'#' * levels[name]} {body}"
+            return [f"{'#' * levels[name]} ", body]
         if name in ("textbf", "bf"):
-            return f"**{body}**"
+            return ["**", body, "**"]
         if name in ("emph", "textit", "textsl", "it"):
-            return f"*{body}*"
+            return ["*", body, "*"]
         if name in ("cite", "citep", "citet", "ref", "label", "eqref", "index", "pageref", "bibliography", "usepackage", "documentclass", "includegraphics", "vspace", "hspace"):
-            return ""
+            return []
         if name == "href" and len(inner) > 1:
-            return f"[{inner[1]}]({inner[0]})"
+            return ["[", inner[1], "](", inner[0], ")"]
         if name == "frac" and len(inner) > 1:
-            return self.keep(f"$\\frac{{{inner[0]}}}{{{inner[1]}}}$")
+            return [self.keep(f"$\\frac{{{_flat(inner[0])}}}{{{_flat(inner[1])}}}$")]
         return body
 
     # -- MediaWiki
 
     def wiki(self) -> None:
-        for _ in range(6):
-            before = self.counts["wiki"]
-            self.sub(_TEMPLATE, "wiki", self.template)
-            self.sub(_LINK, "wiki", self.link)
-            if self.counts["wiki"] == before:
-                break
+        self.text = self.marks(self.text)
         self.sub(_TABLE, "wiki", self.table)
-        self.sub(_HEADING, "wiki", lambda m: f"{'#' * len(m.group(1))} {m.group(2)}")
-        self.sub(_QUOTES, "wiki", lambda m: {2: "*{}*", 3: "**{}**", 5: "***{}***"}[len(m.group(1))].format(m.group(2)))
+        self.sub(_HEADING, "wiki", self.heading)
+        self.quotes()
+
+    def marks(self, text: str) -> str:
+        """Templates and links by a stack of open marks; an unclosed one is plain text of what it stands in."""
+        stack, waiting, at = [_Open("")], {"{{": 0, "[[": 0}, 0
+        for m in _WIKI.finditer(text):
+            stack[-1].add(text[at : m.start()])
+            at, run, top = m.end(), m.group(), stack[-1]
+            if run == "|":
+                top.pieces.append(run)
+            elif run[0] in "{[":
+                if len(run) % 2:
+                    top.add(run[0])
+                for _ in range(len(run) // 2):
+                    stack.append(_Open(run[0] * 2))
+                    waiting[run[0] * 2] += 1
+            else:
+                for _ in range(len(run) // 2):
+                    self.close(stack, waiting, "{{" if run[0] == "}" else "[[", run[0] * 2)
+                if len(run) % 2:
+                    stack[-1].add(run[0])
+        stack[-1].add(text[at:])
+        return _flat([x for f in stack for x in (f.mark, *f.pieces)])
+
+    def close(self, stack: list[_Open], waiting: dict[str, int], opener: str, closer: str) -> None:
+        if not waiting[opener]:
+            stack[-1].add(closer)
+            return
+        k = len(stack) - 1
+        while stack[k].mark != opener:
+            k -= 1
+        own = stack[k]
+        for f in stack[k:]:
+            waiting[f.mark] -= 1
+        for f in stack[k + 1 :]:
+            own.take(f, [f.mark, *f.pieces])
+        del stack[k:]
+        new = self.template(own) if opener == "{{" else self.link(own)
+        if new is None:
+            stack[-1].take(own, [[opener, *own.pieces, closer]])
+        else:
+            self.counts["wiki"] += 1
+            stack[-1].pieces += [new] if new else []
 
-    def template(self, m: re.Match) -> str | None:
-        name, *args = m.group(1).split("|")
-        if not name.strip() or "\n\n" in m.group(1):
+    def template(self, own: _Open) -> list | None:
+        name, *args = own.arguments()
+        if own.braces or own.blank or not name:
             return None
-        named = [a.split("=", 1) for a in args if "=" in a]
+        named = [x for x in map(_named, args) if x]
         if named:
             self.boxes += 1
-            return "\n".join(f"{_MARK}b{_MARK}- {k.strip()}: {v.strip()}" for k, v in named)
-        if re.match(r"(?:kilde|source|cite|ref|citation|fact)\b", name.strip(), re.I):
-            return ""
-        return _IN + " ".join(a.strip() for a in args) + _OUT
+            lines = [x for k, v in named for x in (f"\n{_MARK}b{_MARK}- ", k, ": ", v)]
+            return [lines[0][1:], *lines[1:]]
+        if isinstance(name[0], str) and re.match(r"(?:kilde|source|cite|ref|citation|fact)\b", name[0], re.I):
+            return []
+        return [_IN, *[x for a in args for x in (a, " ")][:-1], _OUT]
+
+    def link(self, own: _Open) -> list | None:
+        target, *rest = own.arguments()
+        if own.brackets or own.lines or own.pieces[:1] in ([], ["|"]):
+            return None
+        if target and isinstance(target[0], str) and _FILE.match(target[0]):
+            return []
+        if not (rest and rest[-1]) and all(isinstance(x, str) for x in target):
+            target = ["".join(target).rsplit("#", 1)[-1]]
+        return [_LINKED, rest[-1] if rest and rest[-1] else target, _UNLINKED]
+
+    def heading(self, m: re.Match) -> str | None:
+        line = m.group(2).rstrip(" \t")
+        body = line.rstrip("=")
+        return f"{m.group(1).replace('=', '#')} {body.strip(' ' + chr(9))}" if body and len(line) - len(body) == len(m.group(1)) else None
+
+    def quotes(self) -> None:
+        text, runs = self.text, list(_QUOTES.finditer(self.text))
+        follows: list[int | None] = [None] * len(runs)
+        nearest: dict[int, int] = {}
+        for k in range(len(runs) - 1, -1, -1):
+            lo, n = runs[k].start(), len(runs[k].group())
+            if text[lo] == "\n":
+                nearest = {}
+                continue
+            follows[k] = nearest.get(n)
+            if lo and not text[lo - 1].isspace():
+                nearest[n] = k
+        pairs, at = [], 0
+        for run, k in zip(runs, follows):
+            lo, hi = run.span()
+            if k is None or lo < at or hi - lo not in (2, 3, 5) or text[hi].isspace() or lo and (text[lo - 1].isalnum() or text[lo - 1] == "_"):
+                continue
+            at = runs[k].end()
+            pairs.append((lo, lo, at, at))
+        mark = {2: "*", 3: "**", 5: "***"}
+
+        def quoted(piece: str) -> str:
+            n = len(piece) - len(piece.lstrip("'"))
+            return f"{mark[n]}{piece[n:-n]}{mark[n]}"
 
-    def link(self, m: re.Match) -> str:
-        target, rest = m.group(1).strip(), m.group(2)
-        if _FILE.match(target):
-            return ""
-        return _LINKED + (rest.rsplit("|", 1)[-1].strip() or target.rsplit("#", 1)[-1]) + _UNLINKED
+        self.pair(pairs, "wiki", quoted)
 
     def table(self, m: re.Match) -> str:
         rows: list[list[str]] = [[]]
@@ -297,21 +401,135 @@ class _Reader:
         self.sub(_REFERENCE, "html", reference)
 
 
-def _closing(text: str, at: int) -> int | None:
-    """Where the bracket at ``at`` closes, within the paragraph; None if it doesn't."""
-    left, right, depth = text[at], {"[": "]", "{": "}"}[text[at]], 0
-    for k in range(at, min(len(text), at + 2000)):
-        if text[k] == left:
-            depth += 1
-        elif text[k] == right:
-            depth -= 1
-            if not depth:
-                return k
-        elif text[k] == "\n" and text[k + 1 : k + 2] == "\n":
-            return None
+class _Open:
+    """An open mark (none for the text itself) with the pieces read since, and what lies in them outside inner marks."""
+
+    def __init__(self, mark: str):
+        self.mark, self.pieces = mark, []
+        self.braces = self.brackets = self.lines = self.blank = False
+
+    def add(self, piece: str) -> None:
+        if piece:
+            self.pieces.append(piece)
+            self.braces |= piece[0] in "{}"
+            self.brackets |= piece[0] in "[]"
+            self.lines |= "\n" in piece
+            self.blank |= "\n\n" in piece
+
+    def take(self, other: _Open, pieces: list) -> None:
+        """The pieces of a mark that turned out to be plain text."""
+        self.pieces += pieces
+        self.braces |= other.braces or other.mark == "{{"
+        self.brackets |= other.brackets or other.mark == "[["
+        self.lines |= other.lines
+        self.blank |= other.blank
+
+    def arguments(self) -> list[list]:
+        out: list[list] = [[]]
+        for x in self.pieces:
+            if x == "|":
+                out.append([])
+            else:
+                out[-1].append(x)
+        return [_trimmed(a) for a in out]
+
+
+def _trimmed(pieces: list) -> list:
+    lo, hi = 0, len(pieces)
+    while lo < hi and isinstance(pieces[lo], str) and not pieces[lo].strip():
+        lo += 1
+    while lo < hi and isinstance(pieces[hi - 1], str) and not pieces[hi - 1].strip():
+        hi -= 1
+    out = pieces[lo:hi]
+    if out and isinstance(out[0], str):
+        out[0] = out[0].lstrip()
+    if out and isinstance(out[-1], str):
+        out[-1] = out[-1].rstrip()
+    return out
+
+
+def _named(pieces: list) -> tuple[list, list] | None:
+    """Name and value of an argument with an equals sign of its own."""
+    for k, x in enumerate(pieces):
+        if isinstance(x, str) and "=" in x:
+            name, value = x.split("=", 1)
+            return _trimmed([*pieces[:k], name]), _trimmed([value, *pieces[k + 1 :]])
     return None
 
 
+def _flat(pieces: list) -> str:
+    out, waiting = [], [iter(pieces)]
+    while waiting:
+        for x in waiting[-1]:
+            if isinstance(x, list):
+                waiting.append(iter(x))
+                break
+            out.append(x)
+        else:
+            waiting.pop()
+    return "".join(out)
+
+
+def _places(text: str, opener: str, closer: str) -> tuple[list[int], list[int]]:
+    return [m.start() for m in re.finditer(re.escape(opener), text)], [m.start() for m in re.finditer(re.escape(closer), text)]
+
+
+def _paired(text: str, openers: list[int], closers: list[int]) -> list[tuple[int, int, int, int]]:
+    """Each opener (of two characters, as the closer) with the next closer behind at least one character, if no blank line is between."""
+    blanks = [m.start() for m in _BLANK.finditer(text)] if openers else []
+    out, at = [], 0
+    for start in openers:
+        if start < at:
+            continue
+        k, b = bisect_left(closers, start + 3), bisect_left(blanks, start + 2)
+        if k < len(closers) and not (b < len(blanks) and blanks[b] < closers[k]):
+            at = closers[k] + 2
+            out.append((start, start + 2, closers[k], at))
+    return out
+
+
+def _environments(text: str) -> list[tuple[int, int, int, int]]:
+    """Formula environments, each end with the last begin of its name; of those within each other the outer one."""
+    begun: dict[str, re.Match] = {}
+    pairs = []
+    for m in _FORMULAS.finditer(text):
+        if m.group(1) == "begin":
+            begun[m.group(2)] = m
+        elif m.group(2) in begun:
+            b = begun.pop(m.group(2))
+            pairs.append((b.start(), b.end(), m.start(), m.end()))
+    out: list[tuple[int, int, int, int]] = []
+    for pair in sorted(pairs):
+        if not out or pair[0] >= out[-1][3]:
+            out.append(pair)
+    return out
+
+
+def _closers(text: str) -> dict[int, int]:
+    """Where each bracket closes, within its paragraph; a square one not beyond the braces it stands in."""
+    close: dict[int, int] = {}
+    curly: list[int] = []
+    square: list[int] = []
+    for m in re.finditer(r"[\[\]{}]|\n\n", text):
+        c, k = m.group(), m.start()
+        if c == "{":
+            curly.append(k)
+        elif c == "[":
+            square.append(k)
+        elif c == "]":
+            if square:
+                close[square.pop()] = k
+        elif c == "}":
+            if curly:
+                close[curly[-1]] = k
+                while square and square[-1] > curly[-1]:
+                    square.pop()
+                curly.pop()
+        else:
+            curly, square = [], []
+    return close
+
+
 def _pipe_table(rows: list[list[str]]) -> str:
     if not rows:
         return ""
@@ -319,7 +537,7 @@ def _pipe_table(rows: list[list[str]]) -> str:
     return "\n".join(["", line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:]), ""])
 
 
-_URLS = re.compile(r"\[([^\[\]\n]{0,500})\]\([^()\n]{0,2000}\)")
+_URLS = re.compile(r"\[([^\[\]\n]*+)\]\([^()\n]*+\)")
 _WORDS = re.compile(r"[^\W\d_]+")
 _ITEM = re.compile(r"[ \t]*(?:[-*+|]|\d+[.)])")
 _STOPPED = re.compile(r"[^\W\d_][.!?…](?:\s|$)|[。！？]")

@@ -76,6 +76,44 @@ def test_content_of_containers_stays(text, has):
     assert has in clean(text)[0]
 
 
+LONG = "det er langt " * 1_000 + "slut"
+
+
+@pytest.mark.parametrize(
+    "text,kind,want",
+    [
+        ("$$ \\alpha = " + LONG + "$$", "latex", "$$\\alpha = " + LONG + "$$"),
+        ("\\[ \\alpha = " + LONG + "\\]", "latex", "$$\\alpha = " + LONG + "$$"),
+        ("$\\alpha = " + LONG + "$", "latex", "$\\alpha = " + LONG + "$"),
+        ("\\(\\alpha = " + LONG + "\\)", "latex", "$\\alpha = " + LONG + "$"),
+        ("\\begin{align}\\alpha " + LONG + "\\end{align}", "latex", "$$\\alpha " + LONG + "$$"),
+        ("\\textbf{" + LONG + "}", "latex", f"**{LONG}**"),
+        ("{{citat|" + LONG + "}}", "wiki", LONG),
+        ("[[By|" + LONG + "]]", "wiki", LONG),
+        ("== " + LONG + " ==", "wiki", f"## {LONG}"),
+        ("''" + LONG + "''", "wiki", f"*{LONG}*"),
+        ("{{a|er " * 3_000 + "}}" * 3_000, "wiki", " ".join(["er"] * 3_000)),
+        ("[[a|x " * 3_000 + "]]" * 3_000, "wiki", " ".join(["x"] * 3_000)),
+        ("\\emph{x " * 3_000 + "}" * 3_000, "latex", "*x " * 3_000 + "*" * 3_000),
+    ],
+)
+def test_long_and_deep_marks_are_found(text, kind, want):
+    out, counts, _ = clean(text)
+    assert [k for k in counts if counts[k]] == [kind] and out == want
+
+
+def test_marks_within_marks():
+    assert clean("{{citat|[[By|byen]] er}} og [[By|{{x|byen}}]] {{a [[b {{x|c}}")[0] == "byen er og byen {{a [[b c"
+    assert clean("\\textbf{a \\emph{b} \\frac{1}{\\frac{2}{3}}} \\x{")[0] == "**a *b* $\\frac{1}{$\\frac{2}{3}$}$** \\x{"
+
+
+@pytest.mark.parametrize("unit", ["[[a", "{{", "{{a|", "''", "''a ", "$x", "$$", "\\(", "\\[ ", "\\textbf{", "\\begin{align}", "== ", "{{a|b}}", "[["])
+def test_time_grows_with_the_length(unit):
+    start = time.time()
+    clean(unit * 200_000)
+    assert time.time() - start < 20, unit
+
+
 def test_code():
     text = "a `b` ``c ` d`` e ` f\n\n```x\n`y`\n```\nz `w`"
     assert [text[a:b] for a, b in code_spans(text)] == ["`b`", "``c ` d``", "```x\n`y`\n```", "`w`"]
