@@ -145,9 +145,11 @@ class _Reader:
 
     def stays(self, block: str) -> bool:
         """Headings, code, formulas, and lists and tables that are not mostly links."""
-        if re.match(r"\s*#{1,6} ", block) or any(self.kept[int(k)].lstrip()[:1] in ("`", "~", "$") for k in re.findall(f"{_MARK}(\\d+){_MARK}", block)):
-            return True
-        return _is_list(block) and not _mostly_links(block)
+        return self.protects(block) or bool(re.match(r"\s*#{1,6} ", block)) or _is_list(block) and not _mostly_links(block)
+
+    def protects(self, block: str) -> bool:
+        """Whether there is code or a formula in it."""
+        return any(self.kept[int(k)].lstrip()[:1] in ("`", "~", "$") for k in re.findall(f"{_MARK}(\\d+){_MARK}", block) if int(k) < len(self.kept))
 
     # -- LaTeX
 
@@ -271,10 +273,18 @@ class _Reader:
         name, *args = own.arguments()
         if own.braces or own.blank or not name:
             return None
-        named = [x for x in map(_named, args) if x]
-        if named:
+        named = [(k, _named(a)) for k, a in enumerate(args)]
+        if any(x for _, x in named):
             self.boxes += 1
-            lines = [x for k, v in named for x in (f"\n{_MARK}b{_MARK}- ", k, ": ", v)]
+            flag = f"{_MARK}b{_MARK}"
+            lines: list = []
+            for k, x in named:
+                if x:
+                    # every line of a value belongs to the box
+                    value = [v.replace("\n", f"\n{flag}") if isinstance(v, str) else v for v in x[1]]
+                    lines += [f"\n{flag}- ", x[0], ": ", value]
+                elif args[k]:
+                    lines += ["\n", args[k]]
             return [lines[0][1:], *lines[1:]]
         if isinstance(name[0], str) and re.match(r"(?:kilde|source|cite|ref|citation|fact)\b", name[0], re.I):
             return []
@@ -543,6 +553,9 @@ _ITEM = re.compile(r"[ \t]*(?:[-*+|]|\d+[.)])")
 _STOPPED = re.compile(r"[^\W\d_][.!?…](?:\s|$)|[。！？]")
 #: A block with fewer characters is short; with more than LONG and enough stop words it is text; stop words and links are shares of words and characters.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINK_HIGH = 60, 200, 0.10, 0.22, 0.4
+#: A box's value with fewer words (or letters, where words are not set apart) is a mere entry.
+FEW_WORDS, FEW_LETTERS = 4, 8
+_FIELD = re.compile(r"\n- [^:\n]*:")
 
 
 def _mostly_links(block: str) -> bool:
@@ -556,17 +569,33 @@ def _is_list(block: str) -> bool:
     return all(_ITEM.match(line) for line in block.split("\n") if line.strip())
 
 
+def _unlisted(plain: str) -> bool:
+    """Whether there are letters of a script in which no stop words are listed."""
+    return any("\u0900" <= c <= "\u0e7f" or "\u3040" <= c <= "\u9fff" or "\u0600" <= c <= "\u06ff" for c in plain)
+
+
+def _reads(value: str) -> bool:
+    """Whether a box's value is running text: long enough, with stop words, the end of a sentence or letters of another script."""
+    words = _WORDS.findall(value)
+    if _unlisted(value):
+        return sum(map(len, words)) >= FEW_LETTERS
+    return len(words) >= FEW_WORDS and (sum(w.lower() in _STOP for w in words) / len(words) >= STOP_LOW or bool(_STOPPED.search(value)))
+
+
 def _first_label(block: str, boxed: bool) -> str:
     """text, residue, near (leaning to text) or short: the first pass, from the block alone."""
     plain = _URLS.sub(r"\1", block)
     words = _WORDS.findall(plain)
-    if boxed or not words:
-        return "residue" if boxed else "short"
+    if boxed:
+        values = _FIELD.sub("\n", f"\n{block}").split("\n")
+        return "near" if any(_reads(_URLS.sub(r"\1", v)) and not _mostly_links(v) for v in values) else "residue"
+    if not words:
+        return "short"
     if _mostly_links(block):
         return "residue"
     if len(plain) < SHORT:
         return "short"
-    if any("\u0900" <= c <= "\u0e7f" or "\u3040" <= c <= "\u9fff" or "\u0600" <= c <= "\u06ff" for c in plain[:200]):
+    if _unlisted(plain[:200]):
         return "text"
     share = sum(w.lower() in _STOP for w in words) / len(words)
     if share >= STOP_HIGH:
@@ -628,7 +657,7 @@ def clean(text: str | None) -> tuple[str | None, dict[str, int], int]:
     labels = label_blocks(read, boxed)
     plain = [b.replace(_LINKED, "").replace(_UNLINKED, "") for b in raw]
     # only what came from a markup container may be left out: running text is never lost
-    out = [label == "residue" and (box or inside and not reader.stays(b)) for b, label, box, inside in zip(read, labels, boxed, contained)]
+    out = [label == "residue" and (box or inside) and not (reader.protects(b) if box else reader.stays(b)) for b, label, box, inside in zip(read, labels, boxed, contained)]
     kept = [b for b, leave in zip(plain, out) if not leave]
     body = "\n\n".join(re.sub(r"[ \t]{2,}", " ", b).rstrip() if not re.match(r"\s", b) else b for b in kept)
     return reader.restored(body), reader.counts, len(plain) - len(kept)

@@ -114,6 +114,25 @@ def test_time_grows_with_the_length(unit):
     assert time.time() - start < 20, unit
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f"{{{{citat|{PROSE}|kilde=bog}}}}", f"{PROSE.strip()}\n- kilde: bog"),
+        (f"Han skrev {{{{citat|{PROSE}|kilde=bog}}}}", f"Han skrev {PROSE.strip()}\n- kilde: bog"),
+        ("{{citat|kilde=bog|Alt er godt|og nyt}}", "- kilde: bog\nAlt er godt\nog nyt"),
+        (f"{{{{quote|text={PROSE}}}}}", f"- text: {PROSE.strip()}"),
+        ("{{quote|text=Alt er nu godt igen.\nDet var alt.}}", "- text: Alt er nu godt igen.\nDet var alt."),
+        ("{{quote|text=这座城市非常古老而美丽}}", "- text: 这座城市非常古老而美丽"),
+        ("{{quote|text=$x^2$}}", "- text: $x^2$"),
+        (f"{{{{boks|navn=Aarhus|om={PROSE}}}}}", f"- navn: Aarhus\n- om: {PROSE.strip()}"),
+        ("{{boks|navn=Aarhus|areal=91}}", ""),
+        ("{{boks|a=[[Aarhus by]]|b=[[Den by ved en å]]}}", ""),
+    ],
+)
+def test_contents_of_boxes(text, want):
+    assert clean(text)[0] == want
+
+
 def test_code():
     text = "a `b` ``c ` d`` e ` f\n\n```x\n`y`\n```\nz `w`"
     assert [text[a:b] for a, b in code_spans(text)] == ["`b`", "``c ` d``", "```x\n`y`\n```", "`w`"]
