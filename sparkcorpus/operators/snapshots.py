@@ -52,7 +52,8 @@ def changes_between(df: DataFrame, keys: list[str], snapshot: str, values: list[
         order = Window.orderBy(snapshot)
         steps = numbers.select(snapshot, F.lead(snapshot).over(order).alias(nxt))
         rows = rows.join(steps, snapshot)
-        later = rows.where(F.col(snapshot) != F.lit(known[0]))
+        # what was collected is an arbitrary part of the numbers
+        later = rows.where(F.col(snapshot) != F.lit(numbers.agg(F.min(snapshot)).first()[0]))
     named = {k: fresh("k") for k in keys}
     left = later.select(*keys, snapshot, F.col(mark).alias(ours))
     right = rows.where(F.col(nxt).isNotNull()).select(*[F.col(k).alias(n) for k, n in named.items()], F.col(nxt).alias(theirs + "_no"), F.col(mark).alias(theirs))

@@ -1,5 +1,6 @@
 import random
 
+from sparkcorpus.operators import snapshots
 from sparkcorpus.operators.snapshots import changes_between, latest_version
 
 SCHEMA = "enc int, link string, snap int, t long, snapshot_no string"
@@ -37,6 +38,14 @@ def test_against_brute_force(spark):
     assert found(spark, rows) == expected(rows)
 
 
+def test_many_deliveries_are_joined(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), rng.choice(["a", "b", None]), s, rng.choice([None, 1, 2]), "clash") for s in range(40, 0, -1) for _ in range(3)]
+    for most in (0, 1, 5):
+        monkeypatch.setattr(snapshots, "MAX_DELIVERIES", most)
+        assert found(spark, rows) == expected(rows)
+
+
 def test_hot_record_and_small_tables(spark):
     hot = [(1, "a", s, t, "") for s in (1, 2) for t in [None, 5] * 200] + [(1, "b", 2, None, "")]
     assert found(spark, hot) == {(1, "b", 2, "added")}
