@@ -4,7 +4,8 @@ A lexer cuts a text into classified tokens (words, abbreviations, initials, numb
 ``_rule`` says what one token does in one situation; all reachable situations are enumerated once into dense tables
 (next state, action). A long text is cut into chunks between words. Each chunk is first read as a function from every
 state to the state behind it, the functions are composed by a prefix scan, and then each chunk, knowing its first
-state, gives its boundaries on its own: in one process for long texts, in many tasks for very long ones.
+state, gives its boundaries from there. A text is read by one task, one chunk after another, however long it is; the
+start of a unit that is still open is carried from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -203,10 +204,10 @@ class Transducer:
                 return np.full(self.size, s, np.int16)
         return f
 
-    def run(self, found: list[tuple[int, int, int]], state: int, begin: int | None) -> tuple[list[tuple[int, int]], int | None, int, int]:
+    def run(self, found: list[tuple[int, int, int]], state: int, begin: int | None, last: int = -1) -> tuple[list[tuple[int, int]], int | None, int, int]:
         """Units that end in a stretch read from ``state``, the start of the unit still open (``begin``: that of the
-        unit open before), the end of the last token and the state behind the stretch."""
-        out, mark, last = [], -1, -1
+        unit open before, ``last`` the end of the token before), the end of the last token and the state behind the stretch."""
+        out, mark = [], -1
         nxt, act = self.next, self.action
         skip = (_CODE["SPC"], _CODE["NL"], _CODE["BLANK"])
         after: int | None = None
@@ -239,17 +240,25 @@ class Transducer:
 
 
 TRANSDUCER = Transducer()
+_HEAD = regex.compile(r"[ \t]{0,3}#{1,6}[ \t]")
 _CUT = regex.compile(r"\n[^\S\n]*\n\s*(?=\S)|(?<=[\p{Ll}])[^\S\n](?=\p{Ll}{2})|(?<=[\p{Han}\p{Hiragana}])(?=[\p{Han}\p{Hiragana}])")
 
 
 def chunk_ends(text: str, size: int = CHUNK) -> list[int]:
     """Ends of chunks of about ``size``: behind a blank line, or between two lower-case words or two ideographs, where
-    no unit end is pending. A stretch without such a place stays whole."""
-    out, at = [], 0
+    no unit end is pending. A stretch without such a place stays whole, and so does a heading line."""
+    out, at, line = [], 0, 0
     while len(text) - at > size:
         m = _CUT.search(text, at + size)
         if not m or m.end() >= len(text):
             break
+        if not m.group().startswith("\n"):
+            line = max(line, text.rfind("\n", line, m.start()) + 1)
+            if _HEAD.match(text, line):
+                close = text.find("\n", m.start())
+                m = _CUT.search(text, close) if close >= 0 else None
+                if not m or m.end() >= len(text):
+                    break
         at = m.end()
         out.append(at)
     return [*out, len(text)]
@@ -280,9 +289,8 @@ def sentences(text: str | None, size: int = CHUNK) -> list[tuple[int, int]]:
             states.append(int(f[0]))
     out, begin, end = [], None, -1
     for part, state in zip(found, states):
-        units, begin, last, _ = TRANSDUCER.run(part, state, begin)
+        units, begin, end, _ = TRANSDUCER.run(part, state, begin, end)
         out += units
-        end = max(end, last)
     if begin is not None and end > begin:
         out.append((begin, end))
     return _trimmed(text, out)

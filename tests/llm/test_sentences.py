@@ -74,3 +74,10 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "En. To."), (2, None), (3, " \n"), (1, "En. To."), (4, "x" * 200_000)], "k long, t string")
     got = sorted(tuple(r) for r in sentence_units(df, "k", "t").collect())
     assert got == [(1, 0, 3), (1, 0, 3), (1, 4, 7), (1, 4, 7), (4, 0, 200_000)]
+
+
+def test_a_heading_is_not_cut():
+    text = "en by ved havet " * 3 + "\n\n# " + "en lang overskrift om byen " * 20 + "\n\n" + "Det er en by. " * 20 + "\n## " + "nok en overskrift " * 20 + "\nDer er mere."
+    whole = sentences(text, 10**6)
+    for size in range(10, 900, 7):
+        assert sentences(text, size) == whole, size
