@@ -76,6 +76,21 @@ def _script(text: str) -> frozenset[str]:
     return frozenset(found)
 
 
+#: Letters of these scripts say about as much as two of another.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _letters(text: str) -> int:
+    """Letters, those of dense scripts twice."""
+    return sum(c.isalpha() for c in text) + sum(c.isalpha() for c in _DENSE.findall(text))
+
+
+def _latin_leads(text: str) -> bool:
+    """Whether more letters are Latin than not."""
+    latin = sum(c.isalpha() and "LATIN" in _script(c) for c in text)
+    return 2 * latin > _letters(text)
+
+
 _NAME = re.compile(r"(?<=\S[ \n])[^\W\d_a-zæøåäöüéèñß]{1}[^\W\d_]{3,}")
 _DIGITS = re.compile(r"\d+")
 _ODD = re.compile(r"[^\w\s.,]|\d")
@@ -108,21 +123,26 @@ class CompressionClassifier:
                 words.precompute_compress(compression_params=parameters)
                 self._ready[code] = zstandard.ZstdCompressor(dict_data=words, compression_params=parameters)
                 self.scripts[code] = _script(_SEEDS.get(code, content.decode("utf-8", "ignore")[:2000]))
-            self.by_script: dict[frozenset, list[str]] = {}
+            self.by_script: dict[tuple[frozenset, bool], list[str]] = {}
         return self._ready
 
     def candidates(self, text: str) -> list[str]:
-        """Languages that share a script with the text's letters; all where none does."""
+        """Languages that share a script with the text's letters; all where none does.
+
+        A script beside Latin decides against it, unless most letters are Latin: then both are candidates."""
         ready = self._load()
         scripts = _script(text)
-        known = self.by_script.get(scripts)
+        both = len(scripts) > 1 and "LATIN" in scripts and _latin_leads(text)
+        known = self.by_script.get((scripts, both))
         if known is None:
             # a script of its own decides against the Latin of names and units beside it
             own = scripts - {"LATIN"} or scripts
             if "HIRAGANA" in own:
                 own = frozenset({"HIRAGANA"})
+            if both:
+                own |= {"LATIN"}
             known = [c for c in ready if self.scripts[c] & own] or list(ready)
-            self.by_script[scripts] = known
+            self.by_script[scripts, both] = known
         return known
 
     def sizes(self, masked: str) -> dict[str, int]:
@@ -245,18 +265,23 @@ def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, st
     """(start, end, language, confidence) of maximal stretches of sentence units in one language.
 
     Heading lines, units with few letters and units with a narrow margin join the stretch they stand in: the language
-    before them, or after them at the start. A text of nothing else is classified as a whole.
+    before them, or after them at the start, if that has their script. A text of nothing else is classified as a whole.
     """
     units = sentences(text)
     if not any(c.isalpha() for c in text):
         return []
     found: list[tuple[int, int, str | None, float]] = []
+    unsure: dict[int, tuple[str, list[str]]] = {}
     for lo, hi in units:
         unit = text[lo:hi]
-        if unit.lstrip().startswith("#") or sum(c.isalpha() for c in unit) < 8:
+        if unit.lstrip().startswith("#") or _letters(unit) < 8:
             found.append((lo, hi, None, 0.0))
             continue
         code, confidence, sure = model.classify(unit)
+        if not sure:
+            able, scripts = model.candidates(_masked(unit)), _script(unit)
+            # where nothing around can decide, a language whose scripts all occur goes before one that lacks some (no kana: not Japanese)
+            unsure[lo] = min(able, key=lambda c: (not model.scripts[c] <= scripts, c != code)), able
         found.append((lo, hi, code if sure else None, confidence))
     if all(f[2] is None for f in found):
         whole = "\n".join(text[lo:hi] for lo, hi, _, _ in found if not text[lo:hi].startswith("#")) or text
@@ -265,7 +290,10 @@ def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, st
     first = next(f[2] for f in found if f[2])
     out: list[list] = []
     for lo, hi, code, confidence in found:
-        code = code or (out[-1][2] if out else first)
+        if code is None:
+            code = out[-1][2] if out else first
+            best, able = unsure.get(lo, (code, [code]))
+            code = code if code in able else best
         if out and out[-1][2] == code:
             weight = hi - lo
             out[-1][3] = (out[-1][3] * out[-1][4] + confidence * weight) / (out[-1][4] + weight)

@@ -30,6 +30,21 @@ def test_cases():
         assert langid.judge(model, nothing, None) == (None, 0.0, [], [])
 
 
+def test_names_in_another_script():
+    model = langid.fit([])
+    for text in ("Byen Moskva (Москва) er meget stor, og der findes mange gamle kilder.", "Der findes mange gamle kilder om byen (北京) og om dens historie."):
+        assert {"da", "nb"} <= set(model.candidates(text)) and langid.judge(model, text, "da")[2] == [], text
+    assert "da" not in model.candidates("Город Microsoft был основан давно.") and "da" not in model.candidates("他在Microsoft工作了很多年")
+
+
+def test_short_sentences_of_dense_scripts():
+    model = langid.fit([])
+    main = "Det er ikke muligt at sige, hvornår byen blev grundlagt, men der findes mange gamle kilder. " * 3
+    for sentence, code in (("这是古城。", "zh"), ("これは町です。", "ja")):
+        lang, _, cases, parts = langid.judge(model, main + sentence, "da")
+        assert lang == "da" and cases == ["mixed"] and [p[2] for p in parts] == ["da", code], sentence
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="the data are not here")
 def test_held_out_rows(spark):
     """Labels of rows that took no part in the fit: nearly all agree, as only a tenth are wrong or missing."""
