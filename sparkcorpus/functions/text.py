@@ -139,6 +139,11 @@ def prefixed(text: Column, kind: Column, family: str) -> Column:
     return F.concat(F.when(kind == "query", F.lit(query)).otherwise(F.lit(passage)), text)
 
 
+def _bare(text: Column) -> Column:
+    """Without white space at either end, the separators U+001C to U+001F included."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def parse_answer(content: Column) -> Column:
     """struct<query_type, passage> of a generated answer.
 
@@ -146,12 +151,12 @@ def parse_answer(content: Column) -> Column:
     line from the first PASSAGE line on, joined by spaces. Without them the whole answer is the passage and the type is
     conceptual. A null answer gives a null passage.
     """
-    text = strip(content)
+    text = _bare(content)
     lines = F.split(text, "\n")
     typed = F.upper(F.element_at(F.filter(lines, lambda x: x.startswith("QUERYTYPE:")), -1))
     both = text.contains("QUERYTYPE:") & text.contains("PASSAGE:")
     kind = F.when(~both, "conceptual").when(typed.contains("ENTITY"), "entity").when(typed.contains("CONCEPTUAL"), "conceptual").otherwise("unclear")
     first = F.array_position(F.transform(lines, lambda x: x.startswith("PASSAGE:")), True)
     kept = F.filter(F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>")), lambda x: ~x.startswith("QUERYTYPE:"))
-    body = strip(F.array_join(F.transform(kept, lambda x: F.when(x.startswith("PASSAGE:"), strip(F.replace(x, F.lit("PASSAGE:"), F.lit("")))).otherwise(x)), " "))
+    body = _bare(F.array_join(F.transform(kept, lambda x: F.when(x.startswith("PASSAGE:"), _bare(F.replace(x, F.lit("PASSAGE:"), F.lit("")))).otherwise(x)), " "))
     return F.struct(kind.alias("query_type"), F.when(both & (first > 0), body).otherwise(text).alias("passage"))

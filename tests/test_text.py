@@ -54,6 +54,28 @@ def test_answers(spark):
     assert parse(None)[1] is None
 
 
+def test_answers_of_empty_and_spaced_headwords(spark):
+    """The rows that hyde_parse leaves to this test: headwords that are empty or hold white space, against a plain loop."""
+
+    def parsed(content):
+        content, kind, passage, found = content.strip(), "", [], False
+        for line in content.split("\n"):
+            if line.startswith("QUERYTYPE:"):
+                kind = line.upper()
+            elif line.startswith("PASSAGE:"):
+                found = True
+                passage.append(line.replace("PASSAGE:", "").strip())
+            elif found:
+                passage.append(line)
+        return "entity" if "ENTITY" in kind else "conceptual" if "CONCEPTUAL" in kind else "unclear", " ".join(passage).strip()
+
+    words = ["", " ", "\t", "\n", "a b", " a  b ", "a\nb", "a\n\nb", "a\r\nb", "a\u00a0b", "\u00a0a\u3000", "\u2028a", "a\x0b", "a\x1fb\x1f", "\u200ba b", "a\nPASSAGE: b", "a\nQUERYTYPE: entity", "PASSAGE: a b"]
+    answers = [f"QUERYTYPE: {kind}\nPASSAGE:  {w}{end}" for w in words for kind in ("ENTITY", "[conceptual]", "MIXED") for end in ("\nsecond line", "")]
+    rows = spark.createDataFrame(list(enumerate(answers)), "k int, t string").select("k", tx.parse_answer(F.col("t")).alias("a")).collect()
+    got = {r["k"]: tuple(r["a"]) for r in rows}
+    assert {a: got[k] for k, a in enumerate(answers)} == {a: parsed(a) for a in answers}
+
+
 def test_urls(spark):
     assert value(spark, urls.host, "https://Bruger@Vaerk.Example:80/a") == "vaerk.example"
     assert value(spark, urls.permalink, "https://v.example/eksteri%C3%B8r/") == "eksteriør"
