@@ -15,6 +15,7 @@ import html
 import re
 from bisect import bisect_left
 from html.entities import html5
+from typing import NamedTuple
 
 KINDS = ("html", "wiki", "latex")
 
@@ -36,18 +37,21 @@ _STOP = frozenset(
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*(?:\n|$)", re.M)
 _TICKS = re.compile(r"`+")
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_COMMENT = re.compile(r"<!--|-->")
+_VERBATIM = re.compile(r"<(/?)(pre|code|script|style)\b([^<>]*)>", re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'|[^\s\"'=<>`]+))?)*)\s*(/?)>")
 _REFERENCE = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]{1,31}));")
 _DISPLAY = re.compile(r"(?<!\\)(?=\$\$)")
 _INLINE = re.compile(r"(?<![\\$\w])\$(?![\s$])((?:[^$\n\\]++|\\.)++)(?<!\s)\$(?![\d$])")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
 _BLANK = re.compile(r"\n(?=[ \t]*\n)")
 _MATHLIKE = re.compile(r"[=^_+<>/]|\\[A-Za-z]+|^\s*[A-Za-z]\s*$")
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 _FORMULAS = re.compile(r"\\(begin|end)\{((?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}")
 _COMMAND = re.compile(r"(?<![\w:\\/])\\([A-Za-z]+)(\*?)")
 _WIKI = re.compile(r"\{+|\}+|\[+|\]+|\|")
-_TABLE = re.compile(r"^[ \t]*\{\|(.*?)(?:^[ \t]*\|\}|\Z)", re.M | re.S)
+_TABLE = re.compile(r"^[ \t]*(\{\||\|\})[^\n]*", re.M)
+_CELL_STYLE = re.compile(r"[^|\[\]{}]*=[^|\[\]]*\|(?!\|)")
 _HEADING = re.compile(r"^(={2,6})([^=\n][^\n]*)$", re.M)
 _QUOTES = re.compile(r"'{2,}|\n")
 _FILE = re.compile(r"^(?:fil|file|image|billede|bild|datei|fichier|archivo|imagen|kategori|category|kategorie|catégorie|categoría)\s*:", re.I)
@@ -91,12 +95,16 @@ def code_spans(text: str) -> list[tuple[int, int]]:
 
 
 class _Reader:
-    """One text on its way to clean Markdown; protected stretches stand in it as private-use marks."""
+    """One text on its way to clean Markdown; protected stretches stand in it as private-use marks.
+
+    Every step rewrites stretches of the text, and where one was markup its place and kind are kept as a tag that moves
+    along with the text, so that in the end each block knows what was found in it.
+    """
 
     def __init__(self, text: str):
         self.kept: list[str] = []
         self.counts = dict.fromkeys(KINDS, 0)
-        self.boxes = 0
+        self.tags: list[tuple[int, str]] = []
         parts, at = [], 0
         for lo, hi in code_spans(text):
             parts += [text[at:lo], self.keep(text[lo:hi])]
@@ -107,27 +115,34 @@ class _Reader:
         self.kept.append(piece)
         return f"{_MARK}{len(self.kept) - 1}{_MARK}"
 
-    def sub(self, pattern: re.Pattern, kind: str, make) -> None:
-        def one(m: re.Match) -> str:
-            new = make(m)
-            if new is None:
-                return m.group()
-            self.counts[kind] += 1
-            return new
-
-        self.text = pattern.sub(one, self.text)
+    def rewrite(self, edits: list, kind: str | None = None) -> None:
+        """Puts (start, end, new text) in place, in order; with a kind each of them was markup."""
+        if not edits:
+            return
+        out, tags, at, moved, t = [], [], 0, 0, 0
+        for start, end, new in edits:
+            while t < len(self.tags) and self.tags[t][0] < start:
+                tags.append((self.tags[t][0] + moved, self.tags[t][1]))
+                t += 1
+            while t < len(self.tags) and self.tags[t][0] < end:
+                tags.append((start + moved, self.tags[t][1]))
+                t += 1
+            if kind:
+                tags.append((start + moved, kind))
+            out += [self.text[at:start], new]
+            at, moved = end, moved + len(new) - (end - start)
+        self.tags = tags + [(p + moved, k) for p, k in self.tags[t:]]
+        self.text = "".join([*out, self.text[at:]])
+        if kind:
+            self.counts[kind] += len(edits)
+
+    def sub(self, pattern: re.Pattern, kind: str | None, make) -> None:
+        edits = [(m.start(), m.end(), new) for m in pattern.finditer(self.text) if (new := make(m)) is not None]
+        self.rewrite(edits, kind)
 
     def pair(self, pairs: list[tuple[int, int, int, int]], kind: str, make) -> None:
         """Rewrites what lies between paired marks: (start, start of the body, its end, end)."""
-        out, at = [], 0
-        for start, lo, hi, end in pairs:
-            new = make(self.text[lo:hi])
-            if new is not None:
-                self.counts[kind] += 1
-                out += [self.text[at:start], new]
-                at = end
-        if out:
-            self.text = "".join([*out, self.text[at:]])
+        self.rewrite([(start, end, new) for start, lo, hi, end in pairs if (new := make(self.text[lo:hi])) is not None], kind)
 
     def restored(self, text: str) -> str:
         mark = re.compile(f"{_MARK}(\\d+){_MARK}")
@@ -165,10 +180,11 @@ class _Reader:
         self.pair(_paired(self.text, *_places(self.text, r"\(", r"\)")), "latex", lambda body: self.formula(body, False))
         self.sub(_INLINE, "latex", lambda m: self.formula(m.group(1), False))
         self.sub(_ENVIRONMENT, "latex", lambda m: "")
-        self.text = self.commands(self.text)
+        self.commands()
 
-    def commands(self, text: str) -> str:
+    def commands(self) -> None:
         """Rewritten commands; read from the last to the first, so that those in an argument are done before its command."""
+        text = self.text
         close = _closers(text)
         done: list[tuple[int, int, list, int]] = []
         for m in reversed(list(_COMMAND.finditer(text))):
@@ -193,12 +209,8 @@ class _Reader:
             while done and done[-1][0] < end:
                 done.pop()
             done.append((m.start(), end, self.command(name, inner), count))
-        out, at = [], 0
-        for start, stop, new, n in reversed(done):
-            self.counts["latex"] += n
-            out += [text[at:start], new]
-            at = stop
-        return _flat([*out, text[at:]]) if out else text
+        self.rewrite([(start, stop, _flat([new])) for start, stop, new, _ in reversed(done)], "latex")
+        self.counts["latex"] += sum(n - 1 for *_, n in done)
 
     def command(self, name: str, inner: list[list]) -> list:
         if name in _SYMBOLS:
@@ -222,34 +234,34 @@ class _Reader:
     # -- MediaWiki
 
     def wiki(self) -> None:
-        self.text = self.marks(self.text)
-        self.sub(_TABLE, "wiki", self.table)
+        self.marks()
+        self.tables()
         self.sub(_HEADING, "wiki", self.heading)
         self.quotes()
 
-    def marks(self, text: str) -> str:
+    def marks(self) -> None:
         """Templates and links by a stack of open marks; an unclosed one is plain text of what it stands in."""
-        stack, waiting, at = [_Open("")], {"{{": 0, "[[": 0}, 0
+        text, stack, waiting, at = self.text, [_Open("")], {"{{": 0, "[[": 0}, 0
+        edits: list[tuple[int, int, list | None]] = []
         for m in _WIKI.finditer(text):
             stack[-1].add(text[at : m.start()])
-            at, run, top = m.end(), m.group(), stack[-1]
+            at, run, lo = m.end(), m.group(), m.start()
             if run == "|":
-                top.pieces.append(run)
+                stack[-1].pieces.append(run)
             elif run[0] in "{[":
                 if len(run) % 2:
-                    top.add(run[0])
-                for _ in range(len(run) // 2):
-                    stack.append(_Open(run[0] * 2))
+                    stack[-1].add(run[0])
+                for k in range(len(run) // 2):
+                    stack.append(_Open(run[0] * 2, lo + len(run) % 2 + 2 * k))
                     waiting[run[0] * 2] += 1
             else:
-                for _ in range(len(run) // 2):
-                    self.close(stack, waiting, "{{" if run[0] == "}" else "[[", run[0] * 2)
+                for k in range(len(run) // 2):
+                    self.close(stack, waiting, "{{" if run[0] == "}" else "[[", run[0] * 2, lo + 2 * k + 2, edits)
                 if len(run) % 2:
                     stack[-1].add(run[0])
-        stack[-1].add(text[at:])
-        return _flat([x for f in stack for x in (f.mark, *f.pieces)])
+        self.rewrite([(lo, hi, _flat([new])) for lo, hi, new in edits], "wiki")
 
-    def close(self, stack: list[_Open], waiting: dict[str, int], opener: str, closer: str) -> None:
+    def close(self, stack: list[_Open], waiting: dict[str, int], opener: str, closer: str, end: int, edits: list) -> None:
         if not waiting[opener]:
             stack[-1].add(closer)
             return
@@ -265,9 +277,15 @@ class _Reader:
         new = self.template(own) if opener == "{{" else self.link(own)
         if new is None:
             stack[-1].take(own, [[opener, *own.pieces, closer]])
-        else:
-            self.counts["wiki"] += 1
-            stack[-1].pieces += [new] if new else []
+            return
+        inner = 0
+        while edits and edits[-1][0] >= own.start:
+            edits.pop()
+            inner += 1
+        # what lies within it was counted when it was closed, as this one is when the text is rewritten
+        self.counts["wiki"] += inner
+        edits.append((own.start, end, new))
+        stack[-1].pieces += [new] if new else []
 
     def template(self, own: _Open) -> list | None:
         name, *args = own.arguments()
@@ -275,7 +293,6 @@ class _Reader:
             return None
         named = [(k, _named(a)) for k, a in enumerate(args)]
         if any(x for _, x in named):
-            self.boxes += 1
             flag = f"{_MARK}b{_MARK}"
             lines: list = []
             for k, x in named:
@@ -332,76 +349,156 @@ class _Reader:
 
         self.pair(pairs, "wiki", quoted)
 
-    def table(self, m: re.Match) -> str:
+    def tables(self) -> None:
+        """Tables from their opening to the next closing line; one that is never closed ends with its last row."""
+        edits, at, opened = [], 0, None
+        for m in _TABLE.finditer(self.text):
+            if m.group(1) == "{|":
+                if opened is not None:
+                    edits.append(self.unclosed(opened, m.start()))
+                opened = m
+            elif opened is not None:
+                close = m.start() + m.group().index("|}") + 2
+                edits.append((opened.start(), close, self.table(self.text[opened.end() : m.start()])))
+                opened = None
+        if opened is not None:
+            edits.append(self.unclosed(opened, len(self.text)))
+        self.rewrite([e for e in edits if e[0] >= at], "wiki")
+
+    def unclosed(self, opened: re.Match, limit: int) -> tuple[int, int, str]:
+        rows = re.compile(r"(?:\n[ \t]*[|!][^\n]*)*").match(self.text, opened.end(), limit)
+        return opened.start(), rows.end(), self.table(rows.group()) if rows.group() else ""
+
+    def table(self, body: str) -> str:
+        """A pipe table; lines that go on with a cell belong to it, and a caption stands before the table."""
         rows: list[list[str]] = [[]]
-        for line in m.group(1).split("\n")[1:]:
+        captions = []
+        for line in body.split("\n"):
             line = line.strip()
             if line.startswith("|-"):
                 rows.append([])
             elif line.startswith("|+"):
-                continue
+                captions.append(line[2:].strip())
             elif line[:1] in ("|", "!"):
-                rows[-1] += [c.strip() for c in re.split(r"\|\||!!", line[1:])]
-        return f"\n{_IN}\n{_pipe_table([r for r in rows if r])}\n{_OUT}\n"
+                cells = (_CELL_STYLE.sub("", c, count=1) if _CELL_STYLE.match(c) else c for c in re.split(r"\|\||!!", line[1:]))
+                rows[-1] += [c.strip() for c in cells]
+            elif line:
+                cells = next((r for r in reversed(rows) if r), rows[-1])
+                cells[-1:] = [f"{cells[-1]} {line}".strip() if cells else line]
+        head = "".join(f"{c}\n\n" for c in captions if c)
+        return f"\n{_IN}\n{head}{_pipe_table([r for r in rows if r])}\n{_OUT}\n"
 
     # -- HTML
 
+    def comments(self) -> None:
+        """Comments go; of one that is never closed only the mark goes, for what follows may be running text."""
+        edits, opened = [], None
+        for m in _COMMENT.finditer(self.text):
+            if m.group() == "<!--":
+                opened = m if opened is None else opened
+            elif opened is not None and m.start() >= opened.end():
+                edits.append((opened.start(), m.end(), ""))
+                opened = None
+        if opened is not None:
+            edits.append((opened.start(), opened.end(), ""))
+        self.rewrite(edits, "html")
+
+    def verbatim(self) -> None:
+        """Code elements become code spans and blocks, scripts and styles go; an element that is never closed is a mere tag."""
+        edits: list[tuple[int, int, str]] = []
+        opened: dict[str, re.Match] = {}
+        for m in _VERBATIM.finditer(self.text):
+            name = m.group(2).lower()
+            if not m.group(1):
+                if not m.group(3).endswith("/"):
+                    opened.setdefault(name, m)
+                continue
+            o = opened.pop(name, None)
+            if o is None:
+                continue
+            while edits and edits[-1][0] >= o.start():
+                edits.pop()
+            body = self.text[o.end() : m.start()]
+            new = ""
+            if name in ("pre", "code"):
+                body = html.unescape(self.restored(_VERBATIM.sub("", body)))
+                if name == "pre" or "\n" in body:
+                    fence = "`" * max(3, 1 + max((len(t) for t in _TICKS.findall(body)), default=0))
+                    new = f"\n\n{self.keep(f'{fence}{chr(10)}{body.strip(chr(10))}{chr(10)}{fence}')}\n\n"
+                elif body.strip():
+                    tick = "`" * (1 + max((len(t) for t in _TICKS.findall(body)), default=0))
+                    new = self.keep(f"{tick}{body}{tick}")
+            edits.append((o.start(), m.end(), new))
+            # an element that was opened within this one is done
+            opened = {n: x for n, x in opened.items() if x.start() < o.start()}
+        self.rewrite(edits, "html")
+
     def markup(self) -> None:
-        self.sub(_COMMENT, "html", lambda m: "")
-        held = _AUTOLINK.sub(lambda m: self.keep(m.group()), self.text)
-        out, at, link, opened = [], 0, [], []
+        self.sub(_AUTOLINK, None, lambda m: self.keep(m.group()))
+        edits: list[list] = []
+        link: list[tuple[int, str | None]] = []
+        opened: list[tuple[str, int]] = []
+        lists: list[int | None] = []
         waiting = dict.fromkeys(_CONTAINERS, 0)
-        for m in _TAG.finditer(held):
+        for m in _TAG.finditer(self.text):
             name, closing = m.group(2).lower(), bool(m.group(1))
             if name not in _TAGS:
                 continue
-            self.counts["html"] += 1
-            out.append(held[at : m.start()])
-            at = m.end()
+            new = ""
             if name in _CONTAINERS:
+                new = "\n\n"
                 # only an element that is closed is a container; until then its place stays empty
                 if not closing:
-                    out += ["\n\n", ""]
-                    opened.append((name, len(out) - 1))
+                    opened.append((name, len(edits)))
                     waiting[name] += 1
                 else:
                     while waiting[name]:
                         last, place = opened.pop()
                         waiting[last] -= 1
                         if last == name:
-                            out[place] = f"{_IN}\n"
-                            out.append(f"\n{_OUT}")
+                            edits[place][2] += f"{_IN}\n"
+                            new = f"\n{_OUT}\n\n"
                             break
-                    out.append("\n\n")
+                if name in ("ul", "ol"):
+                    if closing:
+                        lists = lists[:-1]
+                    else:
+                        start = re.search(r"start\s*=\s*[\"']?(\d{1,6})", m.group(3))
+                        lists.append(int(start.group(1)) if start else 1 if name == "ol" else None)
             elif re.fullmatch("h[1-6]", name):
-                out.append("\n\n" if closing else f"\n\n{'#' * int(name[1])} ")
+                new = "\n\n" if closing else f"\n\n{'#' * int(name[1])} "
             elif name == "li":
-                out.append("" if closing else "\n- ")
+                if not closing:
+                    number = lists[-1] if lists else None
+                    new = f"\n{'- ' if number is None else f'{number}. '}"
+                    if number is not None:
+                        lists[-1] = number + 1
             elif name == "br":
-                out.append("\n")
+                new = "\n"
             elif name in ("p", "blockquote", "section", "article", "pre"):
-                out.append("\n\n")
+                new = "\n\n"
             elif name == "tr":
-                out.append("" if closing else "\n|")
+                new = "" if closing else "\n|"
             elif name in ("td", "th"):
-                out.append(" |" if closing else " ")
+                new = " |" if closing else " "
             elif name in ("b", "strong"):
-                out.append("**")
+                new = "**"
             elif name in ("i", "em"):
-                out.append("*")
+                new = "*"
             elif name == "sup":
-                out.append("" if closing else "^")
+                new = "" if closing else "^"
             elif name == "sub":
-                out.append("" if closing else "_")
+                new = "" if closing else "_"
             elif name == "a":
                 href = re.search(r"href\s*=\s*[\"']?([^\"'\s>]+)", m.group(3))
                 if not closing:
                     link.append(href.group(1) if href else None)
-                    out.append("[" if href else "")
+                    new = "[" if href else ""
                 elif link:
                     target = link.pop()
-                    out.append(f"]({target})" if target else "")
-        self.text = "".join([*out, held[at:]]) if out else held
+                    new = f"]({target})" if target else ""
+            edits.append([m.start(), m.end(), new])
+        self.rewrite(edits, "html")
 
         def reference(m: re.Match) -> str | None:
             if m.group(3) and f"{m.group(3)};" not in html5:
@@ -414,8 +511,8 @@ class _Reader:
 class _Open:
     """An open mark (none for the text itself) with the pieces read since, and what lies in them outside inner marks."""
 
-    def __init__(self, mark: str):
-        self.mark, self.pieces = mark, []
+    def __init__(self, mark: str, start: int = 0):
+        self.mark, self.start, self.pieces = mark, start, []
         self.braces = self.brackets = self.lines = self.blank = False
 
     def add(self, piece: str) -> None:
@@ -628,36 +725,69 @@ def label_blocks(blocks: list[str], boxed: list[bool]) -> list[str]:
     return out
 
 
-def clean(text: str | None) -> tuple[str | None, dict[str, int], int]:
-    """Clean text, residue found by kind, and the number of blocks left out. Null gives null and no residue."""
+class Block(NamedTuple):
+    """A block of the rewritten text: its label, the kinds of markup found in it, and whether it was left out."""
+
+    label: str
+    kinds: list[str]
+    left_out: bool
+
+
+class Cleaned(NamedTuple):
+    text: str | None
+    counts: dict[str, int]
+    blocks: list[Block]
+
+
+def read(text: str | None) -> Cleaned:
+    """Clean text, residue found by kind, and the labelled blocks. Null gives null, no residue and no block.
+
+    Markup that leaves nothing behind (a comment of its own, say) is a block with the label "gone".
+    """
     if text is None:
-        return None, dict.fromkeys(KINDS, 0), 0
+        return Cleaned(None, dict.fromkeys(KINDS, 0), [])
     reader = _Reader(_PRIVATE.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
-    reader.sub(_COMMENT, "html", lambda m: "")
+    reader.comments()
+    reader.verbatim()
     reader.latex()
     reader.markup()
     reader.wiki()
     flag = f"{_MARK}b{_MARK}"
-    raw, contained, depth = [], [], 0
-    for b in re.split(r"\n[ \t]*\n", reader.text):
+    raw, contained, kinds, gone, depth, t = [], [], [], [], 0, 0
+    edges = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(reader.text)]
+    for lo, hi in zip([0, *[e for _, e in edges]], [*[e for e, _ in edges], len(reader.text)]):
         inside = True
+        b = reader.text[lo:hi]
         for piece in re.split(f"([{_IN}{_OUT}])", b):
             if piece in (_IN, _OUT):
                 depth += 1 if piece == _IN else -1
             elif piece.strip() and not depth:
                 inside = False
         b = b.replace(_IN, "").replace(_OUT, "").strip("\n")
+        found = set()
+        while t < len(reader.tags) and reader.tags[t][0] <= hi:
+            (found.add if reader.tags[t][0] >= lo and b.strip() else gone.append)(reader.tags[t][1])
+            t += 1
         if b.strip():
             raw.append(b)
             contained.append(inside)
+            kinds.append(sorted(found))
+    gone += [k for _, k in reader.tags[t:]]
     boxed = [flag in b and all(line.startswith(flag) for line in b.split("\n") if line.strip()) for b in raw]
     raw = [b.replace(flag, "") for b in raw]
     # to the rules a wiki link is a link like any other
-    read = [b.replace(_LINKED, "[").replace(_UNLINKED, "]()") for b in raw]
-    labels = label_blocks(read, boxed)
+    seen = [b.replace(_LINKED, "[").replace(_UNLINKED, "]()") for b in raw]
+    labels = label_blocks(seen, boxed)
     plain = [b.replace(_LINKED, "").replace(_UNLINKED, "") for b in raw]
     # only what came from a markup container may be left out: running text is never lost
-    out = [label == "residue" and (box or inside) and not (reader.protects(b) if box else reader.stays(b)) for b, label, box, inside in zip(read, labels, boxed, contained)]
+    out = [label == "residue" and (box or inside) and not (reader.protects(b) if box else reader.stays(b)) for b, label, box, inside in zip(seen, labels, boxed, contained)]
     kept = [b for b, leave in zip(plain, out) if not leave]
     body = "\n\n".join(re.sub(r"[ \t]{2,}", " ", b).rstrip() if not re.match(r"\s", b) else b for b in kept)
-    return reader.restored(body), reader.counts, len(plain) - len(kept)
+    blocks = [Block(*x) for x in zip(labels, kinds, out)]
+    return Cleaned(reader.restored(body), reader.counts, blocks + ([Block("gone", sorted(set(gone)), True)] if gone else []))
+
+
+def clean(text: str | None) -> tuple[str | None, dict[str, int], int]:
+    """Clean text, residue found by kind, and the number of blocks left out (see ``read``)."""
+    done = read(text)
+    return done.text, done.counts, sum(b.left_out and b.label != "gone" for b in done.blocks)

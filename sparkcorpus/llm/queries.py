@@ -22,31 +22,36 @@ def _fields(*pairs) -> T.StructType:
 # -- p3: markup residue
 
 
+_BLOCK = T.StructType([T.StructField("label", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("left_out", T.BooleanType())])
+
+
 def cleaned_articles(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
-    """``key``, clean text, residue counts by kind and the number of blocks left out, for every row of ``df``.
+    """``key``, clean text, residue counts by kind, the number of blocks left out and the labelled blocks, for every row of ``df``.
 
-    Null texts give null and no residue, repeated rows stay, other columns are not read.
+    A block has its label (text, residue, or gone for markup that left nothing), the kinds of markup found in it and
+    whether it was left out. Null texts give null, no residue and no block; repeated rows stay, other columns are not read.
     """
-    schema = _fields((key, df.schema[key].dataType), *([("clean_text", T.StringType())] if with_text else []), *[(f"n_{k}", T.IntegerType()) for k in markup.KINDS], ("blocks_left_out", T.IntegerType()))
+    counts = [f"n_{k}" for k in markup.KINDS]
+    schema = _fields((key, df.schema[key].dataType), *([("clean_text", T.StringType())] if with_text else []), *[(n, T.IntegerType()) for n in counts], ("blocks_left_out", T.IntegerType()), ("blocks", T.ArrayType(_BLOCK)))
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        done = [markup.clean(t) for t in batch.column(text).to_pylist()]
-        out = {key: batch.column(key), "blocks_left_out": [d[2] for d in done]} | {f"n_{k}": [d[1][k] for d in done] for k in markup.KINDS}
-        return out | ({"clean_text": [d[0] for d in done]} if with_text else {})
+        done = [markup.read(t) for t in batch.column(text).to_pylist()]
+        out = {key: batch.column(key), "blocks": [[b._asdict() for b in d.blocks] for d in done], "blocks_left_out": [sum(b.left_out and b.label != "gone" for b in d.blocks) for d in done]}
+        out |= {n: [d.counts[k] for d in done] for n, k in zip(counts, markup.KINDS)}
+        return out | ({"clean_text": [d.text for d in done]} if with_text else {})
 
     return map_rows(spread(df.select(key, text), [key]), schema, work)
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article row with its clean Markdown and what was converted."""
+    """Every article row with its clean Markdown, what was converted, and its blocks with their labels."""
     return cleaned_articles(table(spark, sf_dir, "articles"), "row_id", "xhtml_md")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, kind of the left-over markup that the cleaning converts."""
+    """row_id, kind of the left-over markup in the row's blocks."""
     done = cleaned_articles(table(spark, sf_dir, "articles"), "row_id", "xhtml_md", with_text=False)
-    kinds = F.array(*[F.when(F.col(f"n_{k}") > 0, F.lit(k)) for k in markup.KINDS])
-    return done.select("row_id", F.explode(F.array_compact(kinds)).alias("kind"))
+    return done.select("row_id", F.explode(F.array_distinct(F.flatten("blocks.kinds"))).alias("kind"))
 
 
 # -- p4: most similar vectors

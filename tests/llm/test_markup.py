@@ -2,7 +2,8 @@ import time
 
 import pytest
 
-from sparkcorpus.llm.markup import clean, code_spans, label_blocks
+from sparkcorpus.llm import markup
+from sparkcorpus.llm.markup import clean, code_spans, label_blocks, read
 from sparkcorpus.llm.queries import cleaned_articles
 
 HITS = {
@@ -149,3 +150,48 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "q"), (2, None, "q"), (1, "<b>x</b>", "q")], "row_id long, body string, clean_text string")
     got = cleaned_articles(df, "row_id", "body").orderBy("row_id").collect()
     assert [(r["row_id"], r["clean_text"], r["n_html"]) for r in got] == [(1, "**x**", 2), (1, "**x**", 2), (2, None, 0)]
+
+
+def test_the_labels_decide(monkeypatch):
+    text = f"{PROSE}\n\n<nav><a href=\"/a\">Forside</a> <a href=\"/b\">Kontakt</a></nav>\n\n<div>{PROSE}</div>\n\n<!-- note -->\n\nEn '''fed''' by."
+    usual = read(text)
+    assert [(b.label, b.kinds, b.left_out) for b in usual.blocks] == [("text", [], False), ("residue", ["html"], True), ("text", ["html"], False), ("text", ["wiki"], False), ("gone", ["html"], True)]
+    for label, left in (("text", 0), ("residue", 2)):
+        monkeypatch.setattr(markup, "label_blocks", lambda blocks, boxed, label=label: [label] * len(blocks))
+        assert clean(text)[2] == left and clean(text)[0] != usual.text
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Før.\n\n<!-- åben\n\nLøbende tekst", "Før.\n\n åben\n\nLøbende tekst"),
+        ("Før.\n\n{| class=x\n| a || b\nLøbende tekst\n\nSlut.", "Før.\n\n| a | b |\n| --- | --- |\n\nLøbende tekst\n\nSlut."),
+        ("{|\n|+ Navne\n! A\n|-\n| style=\"x\" | en\nto\n|}", "Navne\n\n| A |\n| --- |\n| en to |"),
+        ("En <code>a_b $x$ &lt;i&gt;</code> her.", "En `a_b $x$ <i>` her."),
+        ("Se\n<pre class=\"k\">if a:\n  b = {{c}}</pre>\nslut", "Se\n\n```\nif a:\n  b = {{c}}\n```\n\nslut"),
+        ("a<script>var a=1;</script>b<style>p {}</style>c", "abc"),
+        ("<ol><li>en</li><li>to</li></ol>", "1. en\n2. to"),
+        ("<ol start=\"4\"><li>a<ul><li>b</li></ul></li><li>c</li></ol>", None),
+        ("en <code>åben", "en åben"),
+    ],
+)
+def test_what_must_stay(text, want):
+    done = read(text)
+    if want is None:
+        lines = done.text.split("\n")
+        assert "4. a" in lines and "- b" in lines and "5. c" in lines
+    else:
+        assert done.text == want
+    assert any(done.counts.values()) and {k for b in done.blocks for k in b.kinds} == {k for k, n in done.counts.items() if n}
+
+
+def test_tags_follow_the_text():
+    text = "A <b>x</b>\n\n[[B|b]]\n\n\\textbf{c}\n\nd\n\n{{q|[[w]] \\emph{e}}}"
+    assert [b.kinds for b in read(text).blocks] == [["html"], ["wiki"], ["latex"], [], ["latex", "wiki"]]
+
+
+def test_verbatim_elements_in_linear_time():
+    for text in ("<pre>" * 40_000, "<code>x</code>" * 20_000, "<script>" * 20_000 + "</script>", "{|\n| a\n" * 20_000, "<!--" * 50_000, "<pre><code>" * 10_000 + "</code></pre>" * 10_000):
+        start = time.time()
+        read(text)
+        assert time.time() - start < 10
