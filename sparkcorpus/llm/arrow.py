@@ -9,11 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def spread(df: DataFrame, keys: list[str], rows_per_task: int = 20_000) -> DataFrame:
+#: Plan nodes whose partitions are only known when the plan runs.
+_SHUFFLING = frozenset(("Join", "Aggregate", "Window", "Sort", "Distinct", "Repartition", "RepartitionByExpression", "GlobalLimit"))
+
+
+def _narrow(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() not in _SHUFFLING and all(_narrow(children.apply(k)) for k in range(children.size()))
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Leave the scan's own splits where they keep the cores busy; else hash a small scan to the default parallelism.
 
-    A compressed file of a few megabytes is one split but minutes of Python work, so it is dealt out by key.
+    A compressed file of a few megabytes is one split but minutes of Python work, so it is dealt out by key. A plan that
+    shuffles is left to adaptive execution: asking for its partitions would run it.
     """
+    if not _narrow(df._jdf.queryExecution().optimizedPlan()):
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want * 2, *keys)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkcorpus.llm import bpe, langid, markup, neighbours, packing, sentences
 from sparkcorpus.llm import pieces as pieces_
@@ -71,18 +76,69 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- p5: sentence units
 
 
-def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, start_char, end_char of the sentence units of every row of ``df``.
+#: Characters up to which one task reads a text, and chunks into which a longer one is cut at most.
+ONE_TASK, MOST_CHUNKS = 8_192, 4_096
+_UNIT = T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
 
-    Null and blank texts have no units, repeated rows give their units again, other columns are not read.
-    """
-    unit = T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
-    schema = _fields((key, df.schema[key].dataType), ("units", T.ArrayType(unit)))
 
-    def work(batch: pa.RecordBatch) -> dict[str, list]:
-        return {key: batch.column(key), "units": [[{"start_char": a, "end_char": b} for a, b in sentences.sentences(t)] for t in batch.column(text).to_pylist()]}
+def sentence_units(df: DataFrame, key: str, text: str, one_task: int = ONE_TASK, chunk: int = sentences.CHUNK) -> DataFrame:
+    """``key``, start_char, end_char of the sentence units of every row of ``df``.
 
-    return map_rows(spread(df.select(key, text), [key]), schema, work).select(key, F.inline("units"))
+    Null and blank texts have no units, repeated rows give their units again, other columns are not read. A text of more
+    than ``one_task`` characters leaves the first pass as chunks, which are then read by many tasks: as functions, which
+    a prefix scan composes, and again from the situation in which each is entered.
+    """
+    of_key = (key, df.schema[key].dataType)
+    schema = _fields(of_key, ("units", T.ArrayType(_UNIT)), ("row_no", T.LongType()), ("chunk_no", T.IntegerType()), ("chunks", T.IntegerType()), ("at", T.IntegerType()), ("piece", T.StringType()), ("beyond", T.BooleanType()))
+    named = lambda units: [{"start_char": a, "end_char": b} for a, b in units]
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                at, rows = [], []
+                for k, t in enumerate(batch.column(text).slice(lo, 512).to_pylist()):
+                    number += 1
+                    if not t or len(t) <= one_task:
+                        at.append(lo + k)
+                        rows.append((named(sentences.sentences(t, chunk)), number, None, None, None, None, None))
+                        continue
+                    parts = sentences.pieces(t, max(chunk, len(t) // MOST_CHUNKS))
+                    at += [lo + k] * len(parts)
+                    rows += [(None, number, n, len(parts), begin, piece, beyond) for n, (begin, piece, beyond) in enumerate(parts)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:])]], schema=arrow)
+
+    done = cut_lineage(spread(df.select(key, text), [key]).mapInArrow(cut, schema), "units")
+    units = done.where("chunk_no is null").select(key, F.inline("units"))
+    long = done.where("chunk_no is not null").drop("units")
+    return units if long.isEmpty() else units.unionByName(_long_units(long, key))
+
+
+def _long_units(long: DataFrame, key: str) -> DataFrame:
+    """The units of chunked texts: row_no says which text a chunk is of."""
+    dealt = long.repartition(long.sparkSession.sparkContext.defaultParallelism * 2, "row_no", "chunk_no")
+
+    def read(batch: pa.RecordBatch) -> dict[str, list]:
+        parts = zip(*[batch.column(c).to_pylist() for c in ("at", "piece", "beyond")])
+        return {"row_no": batch.column("row_no"), "chunk_no": batch.column("chunk_no"), "f": [sentences.TRANSDUCER.function(sentences.tokens(p, b), at).tobytes() for at, p, b in parts]}
+
+    functions = map_rows(dealt, _fields(("row_no", T.LongType()), ("chunk_no", T.IntegerType()), ("f", T.BinaryType())), read)
+    lists = functions.groupBy("row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "f"))), lambda x: x["f"]).alias("fs"))
+
+    def scan(batch: pa.RecordBatch) -> dict[str, list]:
+        shape = (-1, len(sentences.TRANSDUCER.entries), 3)
+        return {"row_no": batch.column("row_no"), "entries": [sentences.entered(np.frombuffer(b"".join(fs), np.int64).reshape(shape)).tolist() for fs in batch.column("fs").to_pylist()]}
+
+    entries = map_rows(lists, _fields(("row_no", T.LongType()), ("entries", T.ArrayType(T.ArrayType(T.LongType())))), scan)
+    entries = entries.select("row_no", F.posexplode("entries").alias("chunk_no", "entry"))
+
+    def give(batch: pa.RecordBatch) -> dict[str, list]:
+        parts = zip(*[batch.column(c).to_pylist() for c in ("at", "piece", "beyond", "entry", "chunk_no", "chunks")])
+        units = [sentences.piece_units(sentences.tokens(p, b), at, p, tuple(entry), n + 1 == of) for at, p, b, entry, n, of in parts]
+        return {key: batch.column(key), "units": [[{"start_char": lo, "end_char": hi} for lo, hi in u] for u in units]}
+
+    return map_rows(long.join(entries, ["row_no", "chunk_no"]), _fields((key, long.schema[key].dataType), ("units", T.ArrayType(_UNIT))), give).select(key, F.inline("units"))
 
 
 def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +149,7 @@ def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, start_char, end_char: the sentence units of each row in sentence_tasks."""
     tasks = table(spark, sf_dir, "sentence_tasks").select("row_id").distinct()
-    rows = table(spark, sf_dir, "articles").select("row_id", "xhtml_md").join(tasks, "row_id", "left_semi")
+    rows = spread(table(spark, sf_dir, "articles").select("row_id", "xhtml_md"), ["row_id"]).join(tasks, "row_id", "left_semi")
     return sentence_units(rows, "row_id", "xhtml_md")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparkcorpus.llm.queries import sentence_units
-from sparkcorpus.llm.sentences import TRANSDUCER, chunk_ends, compose_prefixes, sentences, tokens
+from sparkcorpus.llm.sentences import TRANSDUCER, chunk_ends, composed, entered, pieces, sentences, tokens
 
 CASES = [
     ["Her købte man korn, æg, fisk m.m.", "Man ved ikke mere."],
@@ -61,13 +61,44 @@ def test_chunks_give_the_same_units():
 
 def test_functions_compose():
     text = " ".join(u for c in CASES for u in c)
-    ends = chunk_ends(text, 100)
-    parts = [[t[0] for t in tokens(text, a, b)] for a, b in zip([0, *ends], ends)]
-    functions = [TRANSDUCER.function(p) for p in parts]
-    whole = [t[0] for t in tokens(text)]
-    assert compose_prefixes(functions)[-1].tolist() == TRANSDUCER.function(whole).tolist()
+    parts = pieces(text, 100)
+    functions = [TRANSDUCER.function(tokens(p, b), at) for at, p, b in parts]
+    assert len(parts) > 8
+    whole = functions[0]
+    for f in functions[1:]:
+        whole = composed(whole, f)
+    assert whole.tolist() == TRANSDUCER.function(tokens(text)).tolist()
     f, g, h = functions[:3]
-    assert np.array_equal(h[g[f]], compose_prefixes([f, g, h])[-1])
+    assert np.array_equal(composed(composed(f, g), h), composed(f, composed(g, h)))
+    # the scan gives each chunk what reading everything before it gives
+    for k, (state, begin, last) in enumerate(entered(np.stack(functions)).tolist()):
+        before = text[: parts[k][0]]
+        _, b, e, s = TRANSDUCER.run(tokens(before), 0)
+        assert (state, begin, last) == (TRANSDUCER.entry[s], b, e)
+
+
+def test_chunks_of_long_texts_in_many_tasks(spark):
+    rng = random.Random(9)
+    every = [u for c in CASES + TIGHT for u in c]
+    texts = ["".join(rng.choice(every) + rng.choice([" ", "\n", "\n\n", "  "]) for _ in range(n)) for n in (3, 40, 200)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1, texts[1]), (7, None), (8, "")]
+    want = sorted((k, a, b) for k, t in rows for a, b in sentences(t, 10**9))
+    for one_task, chunk in ((100, 100), (500, 2_048), (10**6, 100)):
+        got = sentence_units(spark.createDataFrame(rows, "k long, t string"), "k", "t", one_task, chunk)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_blank_lines_and_scripts_end_units():
+    for text, units in (("En linje  \n\nog en til", ["En linje", "og en til"]), ("En by.\r\n\r\nto", ["En by.", "to"]), ("Det er en by. यह एक शहर है।", ["Det er en by.", "यह एक शहर है।"])):
+        assert [text[a:b] for a, b in sentences(text)] == units
+
+
+def test_a_reporting_clause_of_any_length():
+    clause = "他在" + "离开时看着大海" * 40 + "喊道"
+    text = f"“我们不会回来！”{clause}。下一句。"
+    assert [text[a:b] for a, b in sentences(text)] == [f"“我们不会回来！”{clause}。", "下一句。"]
+    for size in (50, 120):
+        assert sentences(text, size) == sentences(text)
 
 
 def test_rows(spark):
