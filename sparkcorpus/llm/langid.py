@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from sparkcorpus.llm.sentences import sentences
 
@@ -38,10 +40,14 @@ _SEEDS = {
     "th": "ไม่สามารถบอกได้ว่าเมืองนี้ก่อตั้งเมื่อใด แต่มีเอกสารเก่าจำนวนมาก และส่วนใหญ่เขียนเป็นภาษาไทย", "hi": "यह कहना संभव नहीं है कि शहर की स्थापना कब हुई थी, लेकिन इसके बारे में कई पुराने स्रोत हैं, और उनमें से अधिकांश हिंदी में लिखे गए हैं।",
     "ar": "لا يمكن القول متى تأسست المدينة، ولكن هناك العديد من المصادر القديمة عنها، ومعظمها مكتوب باللغة العربية.",
 }
-#: Bounds of the fit: labelled rows sampled from the table, sentences looked at and bytes kept for each language.
-TRAIN_ROWS, TRAIN_SENTENCES, DICTIONARY = 10_000, 3_500, 80_000
+#: Bounds of the fit for each language: labelled rows sampled, their sentences looked at in the first round, bytes kept.
+TRAIN_ROWS, TRAIN_SENTENCES, DICTIONARY = 500, 2_000, 80_000
+#: Units of a sampled text that the fit looks at, spread over the text, and the characters of one.
+TEXT_UNITS, UNIT_CHARS = 100, 2_000
 #: A unit is decided only if the best output is smaller than the next by this share and this many bytes.
 MARGIN, MARGIN_BYTES = 0.2, 3
+#: A text without any decided unit has no language if the margin of the whole is narrower than this.
+REJECTED = 0.05
 #: Units whose answer a worker remembers; the memory is emptied when full.
 REMEMBERED = 100_000
 #: A sampled sentence fills a dictionary if its own label is likelier than any other by this (natural logarithm).
@@ -66,28 +72,54 @@ def label_language(label: str | None) -> str | None:
     return None
 
 
+def label_code(label: Column) -> Column:
+    """``label_language`` as an expression; null where a label names none of the languages here."""
+    text = F.lower(F.replace(F.trim(label), F.lit("_"), F.lit("-")))
+    known = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    return F.coalesce(*[F.try_element_at(known, part) for part in (text, F.split_part(text, F.lit("-"), F.lit(1)), F.split_part(text, F.lit(" "), F.lit(1)), F.trim(F.split_part(text, F.lit("("), F.lit(1))))])
+
+
+_scripts: dict[str, str | None] = {}
+
+
+def _script_of(ch: str) -> str | None:
+    """Script of a letter by the first word of its Unicode name, None for what is no letter; letters met are remembered."""
+    if not ch.isalpha():
+        return None
+    name = unicodedata.name(ch, "?").split(" ")[0]
+    return "LATIN" if name in ("FEMININE", "MASCULINE", "MODIFIER", "MATHEMATICAL", "FULLWIDTH") else "HIRAGANA" if name == "KATAKANA" or name.startswith("KATAKANA-HIRAGANA") else name
+
+
 def _script(text: str) -> frozenset[str]:
-    """Scripts of a text's letters, by the first word of their Unicode names."""
+    """Scripts of a text's letters."""
     found = set()
     for ch in set(text):
-        if ch.isalpha():
-            name = unicodedata.name(ch, "?").split(" ")[0]
-            found.add("LATIN" if name in ("FEMININE", "MASCULINE", "MODIFIER", "MATHEMATICAL", "FULLWIDTH") else "HIRAGANA" if name == "KATAKANA" or name.startswith("KATAKANA-HIRAGANA") else name)
-    return frozenset(found)
+        if ch not in _scripts:
+            _scripts[ch] = _script_of(ch)
+        found.add(_scripts[ch])
+    return frozenset(found - {None})
 
 
 #: Letters of these scripts say about as much as two of another.
-_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+_EIGHT = re.compile(r"(?:[\W\d_]*+[^\W\d_]){8}")
 
 
 def _letters(text: str) -> int:
     """Letters, those of dense scripts twice."""
-    return sum(c.isalpha() for c in text) + sum(c.isalpha() for c in _DENSE.findall(text))
+    n = sum(map(len, _RUNS.findall(text)))
+    return n if text.isascii() else n + sum(c.isalpha() for run in _DENSE.findall(text) for c in run)
+
+
+def _few(text: str) -> bool:
+    """Whether there are fewer than eight letters, those of dense scripts counted twice."""
+    return not _EIGHT.match(text) and _letters(text) < 8
 
 
 def _latin_leads(text: str) -> bool:
     """Whether more letters are Latin than not."""
-    latin = sum(c.isalpha() and "LATIN" in _script(c) for c in text)
+    latin = sum("LATIN" in _script(c) for c in text)
     return 2 * latin > _letters(text)
 
 
@@ -124,6 +156,10 @@ class CompressionClassifier:
                 self._ready[code] = zstandard.ZstdCompressor(dict_data=words, compression_params=parameters)
                 self.scripts[code] = _script(_SEEDS.get(code, content.decode("utf-8", "ignore")[:2000]))
             self.by_script: dict[tuple[frozenset, bool], list[str]] = {}
+            self.vocabulary: dict[str, list[str]] = {}
+            for code, content in self.dictionaries.items():
+                for word in set(_RUNS.findall(content.decode("utf-8", "ignore"))):
+                    self.vocabulary.setdefault(word, []).append(code)
         return self._ready
 
     def candidates(self, text: str) -> list[str]:
@@ -146,8 +182,21 @@ class CompressionClassifier:
         return known
 
     def sizes(self, masked: str) -> dict[str, int]:
-        ready, raw = self._load(), masked.encode("utf-8", "replace")
-        return {c: len(ready[c].compress(raw)) for c in self.candidates(masked)}
+        """Output sizes under the dictionaries that can come first or second.
+
+        A dictionary makes a text small by what it has of it. Where words are set apart, dictionaries that hold less than
+        half as many of a text's words as the second best of them are left out before anything is compressed.
+        """
+        ready, raw, able = self._load(), masked.encode("utf-8", "replace"), self.candidates(masked)
+        if len(able) > 2:
+            held = dict.fromkeys(able, 0)
+            for word in _RUNS.findall(masked):
+                for code in self.vocabulary.get(word, ()):
+                    if code in held:
+                        held[code] += 1
+            enough = sorted(held.values())[-2] / 2
+            able = [c for c in able if held[c] >= enough]
+        return {c: len(ready[c].compress(raw)) for c in able}
 
     def classify(self, text: str) -> tuple[str, float, bool]:
         """Best language, confidence (share by which the next best is larger), and whether the margin is wide enough.
@@ -194,10 +243,10 @@ def _filled(pools: dict[str, list[str]], rng: random.Random) -> dict[str, bytes]
 
 
 def _units(text: str) -> list[str]:
-    return [u for lo, hi in sentences(text) if not (u := text[lo:hi]).startswith("#") and sum(c.isalpha() for c in u) >= 8]
+    return [u for lo, hi in sentences(text) if not (u := text[lo:hi]).startswith("#") and _EIGHT.match(u)]
 
 
-def _agreeing(pools: dict[str, list[str]]) -> dict[str, list[str]]:
+def _agreeing(pools: dict[str, list[str]], clear: float = CLEAR) -> dict[str, list[str]]:
     """Sentences whose letter triples are more at home under the label they came with than under any other.
 
     A wrong label puts a sentence among many right ones, where its triples are rare, so a share of wrong labels well
@@ -220,15 +269,16 @@ def _agreeing(pools: dict[str, list[str]]) -> dict[str, list[str]]:
             total = score[own].sum(axis=0)
             # a sentence doesn't speak for itself: under its own label it is left out of the counts
             mine, total[k] = without[own, k].sum(), -np.inf
-            if mine > total.max() + CLEAR:
+            if mine > total.max() + clear:
                 kept.add(x)
         out[c] = sorted(kept)
     return out
 
 
 def units_of(text: str | None) -> list[str]:
-    """The sentence units of a text that the fit looks at: no headings, at least eight letters."""
-    return _units(text) if text else []
+    """The sentence units of a text that the fit looks at: no headings, at least eight letters, within the bounds."""
+    units = [u for u in _units(text) if len(u) <= UNIT_CHARS] if text else []
+    return units[:: -(-len(units) // TEXT_UNITS) or 1]
 
 
 def fit(rows: Iterable[tuple[str | None, list[str]]], seed: int = 11) -> CompressionClassifier:
@@ -251,21 +301,22 @@ def fit(rows: Iterable[tuple[str | None, list[str]]], seed: int = 11) -> Compres
     pools: dict[str, list[str]] = {}
     for code, own in texts.items():
         for units in own[:SECOND_TEXTS]:
-            units = units[:100]
             said = [first.classify(u) for u in units]
             length: dict[str, int] = {}
             for u, (found, _, _) in zip(units, said):
                 length[found] = length.get(found, 0) + len(u)
             if max(length, key=length.get) == code:
                 pools.setdefault(code, []).extend(u for u, (found, confidence, _) in zip(units, said) if found == code or confidence < AGAINST)
-    return CompressionClassifier(_filled(pools, rng))
+    # a quoted language that the first dictionaries did not know well enough shows in its letter triples
+    return CompressionClassifier(_filled(_agreeing({c: pools.get(c, []) for c in NAMES}, 0.0), rng))
 
 
-def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, str, float]]:
+def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, str | None, float]]:
     """(start, end, language, confidence) of maximal stretches of sentence units in one language.
 
     Heading lines, units with few letters and units with a narrow margin join the stretch they stand in: the language
-    before them, or after them at the start, if that has their script. A text of nothing else is classified as a whole.
+    before them, or after them at the start, if that has their script. A text of nothing else is classified as a whole,
+    and rejected (language None) if that is narrow too.
     """
     units = sentences(text)
     if not any(c.isalpha() for c in text):
@@ -274,7 +325,7 @@ def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, st
     unsure: dict[int, tuple[str, list[str]]] = {}
     for lo, hi in units:
         unit = text[lo:hi]
-        if unit.lstrip().startswith("#") or _letters(unit) < 8:
+        if unit[0] == "#" or _few(unit):
             found.append((lo, hi, None, 0.0))
             continue
         code, confidence, sure = model.classify(unit)
@@ -286,7 +337,7 @@ def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, st
     if all(f[2] is None for f in found):
         whole = "\n".join(text[lo:hi] for lo, hi, _, _ in found if not text[lo:hi].startswith("#")) or text
         code, confidence, _ = model.classify(whole)
-        return [(units[0][0], units[-1][1], code, confidence)]
+        return [(units[0][0], units[-1][1], code if confidence >= REJECTED else None, confidence)]
     first = next(f[2] for f in found if f[2])
     out: list[list] = []
     for lo, hi, code, confidence in found:
@@ -303,11 +354,14 @@ def segments(model: CompressionClassifier, text: str) -> list[tuple[int, int, st
     return [(lo, hi, code, round(c, 4)) for lo, hi, code, c, _ in out]
 
 
-def judge(model: CompressionClassifier, text: str | None, label: str | None) -> tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]:
-    """Main language and confidence, cases (missing, wrong, mixed), and the segments. Texts without letters have none."""
+def judge(model: CompressionClassifier, text: str | None, label: str | None) -> tuple[str | None, float, list[str], list[tuple[int, int, str | None, float]]]:
+    """Main language and confidence, cases (missing, wrong, mixed), and the segments. Texts without letters have none;
+    a rejected text has a confidence and a segment but no language and no case."""
     parts = segments(model, text) if text else []
     if not parts:
         return None, 0.0, [], []
+    if parts[0][2] is None:
+        return None, parts[0][3], [], parts
     length: dict[str, int] = {}
     for lo, hi, code, _ in parts:
         length[code] = length.get(code, 0) + hi - lo

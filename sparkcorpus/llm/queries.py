@@ -157,10 +157,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted_languages(df: DataFrame, key: str, text: str, label: str) -> langid.CompressionClassifier:
-    """Dictionaries from at most about ``langid.TRAIN_ROWS`` labelled rows, chosen by a hash of their key; their texts are cut into units by the executors."""
-    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    share = min(1.0, langid.TRAIN_ROWS / max(df.count(), 1))
-    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(label, text)
+    """Dictionaries from at most about ``langid.TRAIN_ROWS`` rows of each labelled language, chosen by a hash of their
+    key, so that one language (or source) with most rows takes nothing from the others; their texts are cut into units
+    by the executors."""
+    code = langid.label_code(F.col(label))
+    counts = {r[0]: r[1] for r in df.groupBy(code.alias("code")).count().where("code is not null").collect()}
+    whole = 1 << 52
+    below = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, int(min(1.0, langid.TRAIN_ROWS / n) * whole))]) if counts else F.create_map(F.lit(""), F.lit(0))
+    # the hash goes first: most rows need no look at their label
+    most = max([min(1.0, langid.TRAIN_ROWS / n) for n in counts.values()], default=0.0)
+    mixed = F.pmod(F.xxhash64(key), F.lit(whole))
+    sample = df.where((mixed < int(most * whole)) & (mixed < F.coalesce(F.try_element_at(below, code), F.lit(0)))).where(F.col(text).isNotNull()).select(label, text)
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         return {"label": batch.column(label), "units": [langid.units_of(t) for t in batch.column(text).to_pylist()]}
@@ -169,21 +176,26 @@ def fitted_languages(df: DataFrame, key: str, text: str, label: str) -> langid.C
     return langid.fit(sorted((r[0], r[1]) for r in units.collect()))
 
 
-def languages(df: DataFrame, key: str, text: str, label: str, model: langid.CompressionClassifier | None = None) -> DataFrame:
-    """``key``, main language, confidence, cases and segments (start, end, language, confidence) of every row.
+def languages(df: DataFrame, key: str, text: str, label: str, model: langid.CompressionClassifier | None = None, detailed: bool = True) -> DataFrame:
+    """``key``, main language, confidence, cases and segments (start, end, language, confidence) of every row; instead of
+    the segments the text's languages where it is not ``detailed``.
 
-    Texts without letters, empty and null ones have no language, no case and no segment. Repeated rows stay repeated;
-    other columns are not read.
+    Texts without letters, empty and null ones have no language, no case and no segment; a text that is rejected has a
+    segment without language. Repeated rows stay repeated; other columns are not read.
     """
     model = model or fitted_languages(df, key, text, label)
     part = T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("lang_code", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    schema = _fields((key, df.schema[key].dataType), ("main_lang", T.StringType()), ("confidence", T.DoubleType()), ("cases", T.ArrayType(T.StringType())), ("segments", T.ArrayType(part)))
+    last = ("segments", T.ArrayType(part)) if detailed else ("langs", T.ArrayType(T.StringType()))
+    schema = _fields((key, df.schema[key].dataType), ("main_lang", T.StringType()), ("confidence", T.DoubleType()), ("cases", T.ArrayType(T.StringType())), last)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         done = [langid.judge(shared.value, t, n) for t, n in zip(batch.column(text).to_pylist(), batch.column(label).to_pylist())]
+        out = {key: batch.column(key), "main_lang": [d[0] for d in done], "confidence": [float(d[1]) for d in done], "cases": [d[2] for d in done]}
+        if not detailed:
+            return out | {"langs": [sorted({p[2] for p in d[3] if p[2]}) for d in done]}
         names = ("start_char", "end_char", "lang_code", "confidence")
-        return {key: batch.column(key), "main_lang": [d[0] for d in done], "confidence": [float(d[1]) for d in done], "cases": [d[2] for d in done], "segments": [[dict(zip(names, p)) for p in d[3]] for d in done]}
+        return out | {"segments": [[dict(zip(names, p)) for p in d[3]] for d in done]}
 
     return map_rows(spread(df.select(key, text, label), [key]), schema, work)
 
@@ -195,9 +207,8 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, lang_code of missing and wrong labels and of mixed texts."""
-    rows = languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    rows = rows.select("doc_id", F.explode("cases").alias("kind"), "main_lang", F.array_distinct(F.transform("segments", lambda p: p["lang_code"])).alias("all"))
-    return rows.select("doc_id", "kind", F.explode(F.when(F.col("kind") == "mixed", F.col("all")).otherwise(F.array("main_lang"))).alias("lang_code"))
+    rows = languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", detailed=False).select("doc_id", F.explode("cases").alias("kind"), "main_lang", "langs")
+    return rows.select("doc_id", "kind", F.explode(F.when(F.col("kind") == "mixed", F.col("langs")).otherwise(F.array("main_lang"))).alias("lang_code"))
 
 
 # -- p7: oversized texts

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkcorpus.llm import langid
 from sparkcorpus.llm.queries import fitted_languages, languages
@@ -45,6 +46,37 @@ def test_short_sentences_of_dense_scripts():
         assert lang == "da" and cases == ["mixed"] and [p[2] for p in parts] == ["da", code], sentence
 
 
+def test_rejected_texts():
+    model = langid.fit([])
+    text = "Lenghum prat vosk, drell omn quirt zaf."
+    lang, confidence, cases, parts = langid.judge(model, text, None)
+    assert lang is None and confidence < langid.REJECTED and cases == [] and parts == [(0, len(text), None, confidence)]
+
+
+def test_a_quoted_language_stays_out_of_the_dictionary():
+    danish = [f"Navnet {n} kendes fra 1434 og bruges også om {w}." for n in ("Ager", "Borup") for w in ("møllen", "skoven", "broen", "havnen")]
+    french = [f"On sait peu de choses sur {w}, mais les sources le mentionnent souvent." for w in ("ce lieu", "ce village", "le port", "la forêt")]
+    rows = [("da", [d, "Der findes mange gamle kilder om byen."]) for d in danish] + [("fr", [f, danish[0]]) for f in french]
+    model = langid.fit(rows)
+    assert "kendes" in model.dictionaries["da"].decode() and "kendes" not in model.dictionaries["fr"].decode()
+
+
+def test_label_codes_as_an_expression(spark):
+    labels = ["da-DK", "Dansk", "NB", "zho", "zh_CN", "Deutsch", " sv ", "it", "??", "", None, "Danish (formal)"]
+    got = spark.createDataFrame([(x,) for x in labels], "l string").select("l", langid.label_code(F.col("l")).alias("c")).collect()
+    assert [r["c"] for r in got] == [c if (c := langid.label_language(x)) in langid.NAMES else None for x in labels]
+
+
+def test_one_language_with_most_rows_leaves_the_others_their_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 40)
+    df = spark.range(4_000).select("id", F.when(F.col("id") % 100 == 0, "sv").otherwise("da").alias("l"), F.when(F.col("id") % 100 == 0, "Området omfattar en gammal kyrka vid havet.").otherwise("Området omfatter en gammel kirke ved havet.").alias("t"))
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.extend(rows) or langid.CompressionClassifier({}))
+    fitted_languages(df, "id", "t", "l")
+    n = {c: sum(1 for r in seen if r[0] == c) for c in ("da", "sv")}
+    assert n["sv"] == 40 and 15 <= n["da"] <= 80
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="the data are not here")
 def test_held_out_rows(spark):
     """Labels of rows that took no part in the fit: nearly all agree, as only a tenth are wrong or missing."""
