@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,28 +68,29 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         count += 1
 
 
-def split_oversized(df: DataFrame, text: str, limit: int, overlap: int, cuts: str = "cuts", keep: list[str] | None = None) -> DataFrame:
-    """Rows of ``df`` whose text exceeds ``limit`` characters, with ``cuts``: array<struct<start, end>> of its pieces.
+def split_oversized(df: DataFrame, text: str, limit: int, overlap: int, cuts: str = "cuts", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """Rows of ``df`` whose text exceeds ``limit`` characters, with ``cuts``: array<struct<start, end, piece_text>>.
 
-    ``keep``: the columns carried along (default all but the text). Texts within the limit never reach Python; null
-    texts are no rows. Repeated rows stay repeated; a column named like ``cuts`` is replaced.
+    ``keep``: the columns carried along (default all but the text). Without ``with_text`` a piece has its range only.
+    Each text is read once, however many pieces it has, and is not carried along beside them. Texts within the limit
+    never reach Python; null texts are no rows. Repeated rows stay repeated; a column named like ``cuts`` is replaced.
     """
     keep = [c for c in (keep or df.columns) if c not in (text, cuts)]
-    piece = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    names = ["start", "end"] + (["piece_text"] if with_text else [])
+    piece = T.StructType([T.StructField(n, T.StringType() if n == "piece_text" else T.IntegerType()) for n in names])
     rows = spread(df.select(*keep, text), keep or [text]).where(F.char_length(F.col(text)) > limit)
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField(text, T.StringType()), T.StructField(cuts, T.ArrayType(piece))])
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField(cuts, T.ArrayType(piece))])
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        texts = batch.column(text).to_pylist()
-        return {c: batch.column(c) for c in keep} | {text: texts, cuts: [[{"start": a, "end": b} for a, b in cut(t, limit, overlap)] for t in texts]}
+        found = [[dict(zip(names, (a, b, t[a:b]))) for a, b in cut(t, limit, overlap)] for t in batch.column(text).to_pylist()]
+        return {c: batch.column(c) for c in keep} | {cuts: found}
 
     return map_rows(rows, schema, work)
 
 
-def pieces(df: DataFrame, text: str, cuts: str = "cuts", number: str = "chunk_sequence_id", first: int = 0) -> DataFrame:
+def pieces(df: DataFrame, cuts: str = "cuts", number: str = "chunk_sequence_id", first: int = 0) -> DataFrame:
     """One row for each piece of ``split_oversized``: its number (from ``first``), start_char, end_char and piece_text."""
+    rest = [c for c in df.columns if c not in (cuts, number, "start_char", "end_char", "piece_text")]
+    out = df.select(*rest, F.posexplode(cuts).alias("__at", "__piece"))
     at = F.col("__piece")
-    body: Column = F.substring(F.col(text), at["start"] + 1, at["end"] - at["start"])
-    rest = [c for c in df.columns if c not in (text, cuts, number, "start_char", "end_char", "piece_text")]
-    out = df.select(*df.columns, F.posexplode(cuts).alias("__at", "__piece"))
-    return out.select(*rest, (F.col("__at") + first).alias(number), at["start"].alias("start_char"), at["end"].alias("end_char"), body.alias("piece_text"))
+    return out.select(*rest, (F.col("__at") + first).alias(number), at["start"].alias("start_char"), at["end"].alias("end_char"), at["piece_text"].alias("piece_text"))

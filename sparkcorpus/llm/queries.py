@@ -219,22 +219,22 @@ def _index_limits(spark: SparkSession, sf_dir: str, index: str = "article_chunks
     return row[0], row[1]
 
 
-def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item, row_key, body, cuts of every article body and stored chunk over the index's limit."""
+def _oversized(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    """item, row_key, cuts of every article body and stored chunk over the index's limit."""
     limit, overlap = _index_limits(spark, sf_dir)
     a = table(spark, sf_dir, "articles").select(F.lit("article").alias("item"), F.col("row_id").alias("row_key"), F.col("xhtml_md").alias("body"))
     c = table(spark, sf_dir, "article_chunks").select(F.lit("chunk").alias("item"), F.col("id").alias("row_key"), F.col("chunk_text").alias("body"))
-    return pieces_.split_oversized(a.unionByName(c), "body", limit, overlap)
+    return pieces_.split_oversized(a.unionByName(c), "body", limit, overlap, with_text=with_text)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, row_key of the texts that come out in more than one piece."""
-    return _oversized(spark, sf_dir).where(F.size("cuts") > 1).select("item", "row_key")
+    return _oversized(spark, sf_dir, False).where(F.size("cuts") > 1).select("item", "row_key")
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered pieces of every oversized text."""
-    return pieces_.pieces(_oversized(spark, sf_dir), "body")
+    return pieces_.pieces(_oversized(spark, sf_dir, True))
 
 
 # -- p8: token ids

@@ -36,6 +36,8 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id long, t string, cuts string")
     done = split_oversized(df, "t", 10, 2)
     assert [r["id"] for r in done.collect()] == [1, 1]
-    got = pieces(done, "t").collect()
+    got = pieces(done).collect()
+    assert all(r["piece_text"] == "x" * (r["end_char"] - r["start_char"]) for r in got)
+    assert [set(r["cuts"][0].asDict()) for r in split_oversized(df, "t", 10, 2, with_text=False).collect()] == [{"start", "end"}] * 2
     assert len(got) == 6 and max(len(r["piece_text"]) for r in got) <= 10 and {r["chunk_sequence_id"] for r in got} == {0, 1, 2}
     assert split_oversized(df.where("false"), "t", 10, 2).count() == 0
