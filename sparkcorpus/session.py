@@ -44,14 +44,36 @@ def fresh(stem: str) -> str:
 
 
 def shared_dir(spark: SparkSession, stem: str) -> str:
-    """A new path under the folder that all executors share (``spark.checkpoint.dir``).
+    """A new path under the folder that all executors share (``spark.checkpoint.dir``); it is deleted when the application ends.
 
-    Only a session without that setting, as in local tests, falls back to a folder beside the warehouse.
+    Only a local session without that setting, as in tests, falls back to a folder beside the warehouse. On a cluster a
+    missing setting is an error, because executors that write to their own disks would lose rows.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
-    return f"{base.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(hadoop).deleteOnExit(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+#: Shared folders made so far, by application.
+_made: dict[str, list[str]] = {}
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the shared folders made so far, for long-lived sessions: no result that reads them may be used any more."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = _made.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+    return len(folders)
 
 
 def cut_lineage(df: DataFrame, stem: str) -> DataFrame:
