@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcorpus.session import fresh
 
-#: Deliveries whose numbers are held on the driver (one integer each); a longer history is joined instead.
-MAX_DELIVERIES = 100_000
-
 
 def canonical_hash(*values: Column) -> Column:
     """64-bit hash of a row's values in which nulls count as values of their own."""
@@ -27,7 +24,7 @@ def latest_version(df: DataFrame, keys: list[str], instant: str, values: list[st
     return best.select(*keys, *[F.col(held)[v].alias(v) for v in dict.fromkeys([instant, *values])])
 
 
-def changes_between(df: DataFrame, keys: list[str], snapshot: str, values: list[str]) -> DataFrame:
+def changes_between(df: DataFrame, keys: list[str], snapshot: str, values: list[str], deliveries: DataFrame | None = None) -> DataFrame:
     """``keys``, ``snapshot`` and ``change_type`` (added, removed, changed) of each record that differs between a
     delivery and the one before it; the first delivery gives no rows.
 
@@ -35,32 +32,22 @@ def changes_between(df: DataFrame, keys: list[str], snapshot: str, values: list[
     present, whatever gaps the numbers have. Keys match null-safely through their canonical hash and values, and
     missing values equal missing ones only. A full outer join on (key, delivery) meets each delivery with the one
     before it, carried one step on: one side missing is an addition or removal, unequal row hashes a change. An
-    empty table or a single delivery gives no rows; columns besides those named are not read.
+    empty table or a single delivery gives no rows; columns besides those named are not read. ``deliveries``: a table
+    whose column ``snapshot`` has the numbers present, where that is cheaper to read than ``df``.
     """
-    mark, ours, theirs, nxt = fresh("hash"), fresh("ours"), fresh("theirs"), fresh("next")
-    rows = df.select(*keys, F.col(snapshot).alias(snapshot), canonical_hash(*[F.col(v) for v in values]).alias(mark))
-    numbers = df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct()
-    known = sorted(r[0] for r in numbers.limit(MAX_DELIVERIES + 1).collect())
-    if len(known) <= MAX_DELIVERIES:
-        after = dict(zip(known, known[1:]))
-        step = F.try_element_at(F.create_map(*[F.lit(x) for kv in after.items() for x in kv]), F.col(snapshot)) if after else F.lit(None)
-        rows, first = rows.withColumn(nxt, step.cast(df.schema[snapshot].dataType)), F.lit(known[0]) if known else F.lit(None)
-        later = rows.where(F.col(snapshot) != first)
-    else:
-        from pyspark.sql import Window
-
-        order = Window.orderBy(snapshot)
-        steps = numbers.select(snapshot, F.lead(snapshot).over(order).alias(nxt))
-        rows = rows.join(steps, snapshot)
-        # what was collected is an arbitrary part of the numbers
-        later = rows.where(F.col(snapshot) != F.lit(numbers.agg(F.min(snapshot)).first()[0]))
+    mark, ours, theirs, no, nxt, first = fresh("hash"), fresh("ours"), fresh("theirs"), fresh("no"), fresh("next"), fresh("first")
+    # one row a delivery: each number, the one after it, and whether it is the first
+    order = Window.orderBy(no)
+    numbers = (df if deliveries is None else deliveries).select(F.col(snapshot).alias(no)).where(F.col(no).isNotNull()).distinct()
+    steps = numbers.select(no, F.lead(no).over(order).alias(nxt), F.lag(no).over(order).isNull().alias(first))
+    rows = df.select(*keys, F.col(snapshot).alias(snapshot), canonical_hash(*[F.col(v) for v in values]).alias(mark)).join(steps, F.col(snapshot) == F.col(no)).drop(no)
     named = {k: fresh("k") for k in keys}
-    left = later.select(*keys, snapshot, F.col(mark).alias(ours))
-    right = rows.where(F.col(nxt).isNotNull()).select(*[F.col(k).alias(n) for k, n in named.items()], F.col(nxt).alias(theirs + "_no"), F.col(mark).alias(theirs))
-    same = F.col(snapshot) == F.col(theirs + "_no")
+    left = rows.where(~F.col(first)).select(*keys, snapshot, F.col(mark).alias(ours))
+    right = rows.where(F.col(nxt).isNotNull()).select(*[F.col(k).alias(n) for k, n in named.items()], F.col(nxt).alias(no), F.col(mark).alias(theirs))
+    same = F.col(snapshot) == F.col(no)
     for k, n in named.items():
         same = same & F.col(k).eqNullSafe(F.col(n))
     joined = left.join(right, same, "full_outer")
     here, there = F.col(ours).isNotNull(), F.col(theirs).isNotNull()
     kind = F.when(~there, "added").when(~here, "removed").when(F.col(ours) != F.col(theirs), "changed")
-    return joined.select(*[F.when(here, F.col(k)).otherwise(F.col(n)).alias(k) for k, n in named.items()], F.coalesce(snapshot, theirs + "_no").alias(snapshot), kind.alias("change_type")).where(F.col("change_type").isNotNull())
+    return joined.select(*[F.when(here, F.col(k)).otherwise(F.col(n)).alias(k) for k, n in named.items()], F.coalesce(snapshot, no).alias(snapshot), kind.alias("change_type")).where(F.col("change_type").isNotNull())

@@ -15,7 +15,8 @@ from sparkcorpus.session import table
 def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site-map rows with ``utc_us`` and the encyclopedia of the host where none was delivered."""
     hosts = table(spark, sf_dir, "encyclopedias").select(F.lower("host").alias("of_host"), F.col("encyclopedia_id").alias("host_id"))
-    rows = normalise_instants(table(spark, sf_dir, "sitemap_entries"), "lastmod", "utc_us", ["permalink"], "received_at")
+    rows = table(spark, sf_dir, "sitemap_entries").select("snapshot_no", "url", "lastmod", "encyclopedia_id", "permalink", "received_at")
+    rows = normalise_instants(rows, "lastmod", "utc_us", ["permalink"], "received_at", by=["encyclopedia_id"])
     rows = rows.join(hosts, host(F.col("url")) == F.col("of_host"), "left")
     return rows.withColumn("encyclopedia_id", F.coalesce("encyclopedia_id", "host_id")).drop("of_host", "host_id")
 
@@ -24,11 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feed, snapshot_no, record_key, change_type of what differs between consecutive deliveries."""
     sitemap = sitemap_records(spark, sf_dir)
     sitemap = latest_version(sitemap, ["encyclopedia_id", "permalink", "snapshot_no"], "utc_us", [])
-    site = changes_between(sitemap, ["encyclopedia_id", "permalink"], "snapshot_no", ["utc_us"])
+    site = changes_between(sitemap, ["encyclopedia_id", "permalink"], "snapshot_no", ["utc_us"], table(spark, sf_dir, "sitemap_entries"))
     site_key = F.concat(F.coalesce(F.col("encyclopedia_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("permalink", F.lit("")))
     values = ["utc_us", "permalink", "encyclopedia_id"]
     meta = table(spark, sf_dir, "article_metadata").withColumn("utc_us", F.unix_micros("changed_at"))
-    meta = changes_between(latest_version(meta, ["id", "snapshot_no"], "utc_us", values), ["id"], "snapshot_no", values)
+    meta = changes_between(latest_version(meta, ["id", "snapshot_no"], "utc_us", values), ["id"], "snapshot_no", values, table(spark, sf_dir, "article_metadata"))
     cols = lambda df, feed, key: df.select(F.lit(feed).alias("feed"), "snapshot_no", key.alias("record_key"), "change_type")
     return cols(site, "sitemap", site_key).unionByName(cols(meta, "metadata", F.col("id").cast("string")))
 

@@ -67,7 +67,7 @@ def test_zone_is_estimated_from_deliveries(spark):
         rows.append((f"r{i}", t.strftime("%Y-%m-%dT%H:%M:%SZ"), datetime(2026, 1, 1)))
         rows.append((f"r{i}", t.astimezone(zone).strftime("%Y-%m-%dT%H:%M:%S"), datetime(2026, 2, 1)))
     found, counts = estimate_zone(_parsed(spark, rows), "wall", "off", ["rec"], "at")
-    assert found == "America/New_York" and counts[found] == 0 and counts["UTC"] == 60
+    assert found == "America/New_York" and counts[found] == 0 and counts["UTC"] >= 60
 
 
 def test_values_later_than_their_arrival_are_violations(spark):
@@ -79,3 +79,34 @@ def test_values_later_than_their_arrival_are_violations(spark):
 def test_declared_zone_stays_without_evidence(spark):
     assert estimate_zone(_parsed(spark, []), "wall", "off", ["rec"], "at") == (CANDIDATES[0], dict.fromkeys(CANDIDATES, 0))
     assert estimate_zone(_parsed(spark, [(None, None, None), (None, "2020-01-01T00:00:00", None)]), "wall", "off", ["rec"], "at")[0] == CANDIDATES[0]
+
+
+def test_a_few_strays_do_not_change_the_zone(spark):
+    """Values dated half an hour after their receipt are noise beside thousands that fit."""
+    rows = [(f"g{i}", f"2020-06-01T{10 + i % 10:02d}:{i % 60:02d}:00", datetime(2020, 6, 1, 10 + i % 10, i % 60)) for i in range(5_000)]
+    rows += [(f"s{i}", "2020-06-01T12:30:00", datetime(2020, 6, 1, 10)) for i in range(6)]
+    found, counts = estimate_zone(_parsed(spark, rows), "wall", "off", ["rec"], "at")
+    assert found == "Europe/Copenhagen" and counts[found] == 6 and counts["Europe/Helsinki"] == 0
+
+
+def test_values_before_the_delivery_before_them_are_violations(spark):
+    """Both sides count: an eastern zone puts values before what was delivered earlier."""
+    rows = []
+    for i in range(20):
+        rows += [(f"r{i}", "2020-06-01T10:00:00Z", datetime(2020, 6, 2)), (f"r{i}", "2020-06-01T12:20:30", datetime(2020, 6, 3))]
+    _, counts = estimate_zone(_parsed(spark, rows), "wall", "off", ["rec"], "at")
+    assert counts["Europe/Helsinki"] == counts["Europe/Moscow"] == 20 and counts["Europe/Copenhagen"] == counts["UTC"] == 0
+
+
+def test_each_source_has_its_own_zone(spark):
+    rng, rows = random.Random(8), []
+    for source, zone in (("a", "America/New_York"), ("b", "Europe/Copenhagen"), (None, "Europe/Moscow")):
+        for i in range(40):
+            t = datetime.fromtimestamp(1_500_000_000 + rng.randrange(10**8), UTC)
+            local = t.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%dT%H:%M:%S")
+            rows += [(source, f"{source}{i}", t.strftime("%Y-%m-%dT%H:%M:%SZ"), datetime(2026, 1, 1), t.timestamp()), (source, f"{source}{i}", local, datetime(2026, 2, 1), t.timestamp())]
+    rows.append(("c", "c1", "2020-06-01T12:00:00Z", datetime(2026, 1, 1), 1591012800.0))
+    rows.append(("d", None, None, None, None))
+    df = spark.createDataFrame(rows, "wall string, rec string, v string, at timestamp, want double")
+    got = normalise_instants(df, "v", "us", ["rec"], "at", by=["wall"]).collect()
+    assert len(got) == len(rows) and all(r["us"] == (None if r["want"] is None else int(r["want"]) * 1_000_000) for r in got)
