@@ -7,16 +7,19 @@ without keys) is swept by many tasks.
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkcorpus.session import fresh
+from sparkcorpus.operators.commits import CommitLog
+from sparkcorpus.session import cut_lineage, fresh
 
-LOWEST = -(2**62)
+LOWEST, HIGHEST = -(2**62), 2**62
 
 
 def _edges(df: DataFrame, keys: list[str], lo: str, hi: str, pos: str, **weights: str) -> DataFrame:
@@ -92,78 +95,107 @@ def ranges_of(df: DataFrame, number: str, lo: str = "lo", hi: str = "hi", width:
     return merge_intervals(rows.withColumn(hi, F.col(lo)), [], lo, hi, width)
 
 
+def ranges_of_files(df: DataFrame, number: str, lo: str = "lo", hi: str = "hi", width: int = 1_000_000) -> DataFrame:
+    """``ranges_of`` for a table of parquet files whose sequence numbers are unique, mostly from the files' footers.
+
+    A file whose statistics show as many rows as numbers between its least and greatest is one range and isn't read;
+    only of the others the column is. Files that can't be opened so are read as well.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return ranges_of(df, number, lo, hi, width)
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame([(name, *_dense(name, number)) for name in part["file"]], columns=["file", "dense", lo, hi])
+
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), spark.sparkContext.defaultParallelism * 4))
+    seen = names.mapInPandas(footers, f"file string, dense boolean, {lo} long, {hi} long").persist()
+    dense = seen.where("dense").select(lo, hi)
+    rest = [r[0] for r in seen.where("not dense").select("file").collect()]
+    if rest:
+        column = spark.read.schema(df.select(number).schema).parquet(*rest)
+        dense = dense.unionByName(ranges_of(column, number, lo, hi, width))
+    return merge_intervals(dense, [], lo, hi, width)
+
+
+def _dense(name: str, number: str) -> tuple[bool, int | None, int | None]:
+    """Whether a file holds every number between its least and greatest, and these two, from its footer."""
+    try:
+        fs, path = pa_fs.FileSystem.from_uri(name)
+        with fs.open_input_file(path) as f:
+            meta = pq.ParquetFile(f).metadata
+        column = [c.path for c in (meta.schema.column(k) for k in range(meta.num_columns))].index(number)
+        stats = [meta.row_group(k).column(column).statistics for k in range(meta.num_row_groups)]
+        if not stats or any(s is None or not s.has_min_max or s.null_count for s in stats):
+            return False, None, None
+        low, high = int(min(s.min for s in stats)), int(max(s.max for s in stats))
+        return high - low + 1 == meta.num_rows, low, high
+    except (OSError, ValueError, TypeError):
+        return False, None, None
+
+
 class IntervalLedger:
     """A table of outputs and the intervals they came from, committed together.
 
     Each run writes its output and the merged intervals into a new version folder and then publishes the version
-    by renaming one small file into place, which fails if the version exists already. A run that dies before the
-    rename leaves nothing that a reader sees, so its numbers are gaps again for the next run; numbers that became
-    available late lie in gaps as well. Nothing is skipped and nothing is processed twice.
+    (see ``CommitLog``: it relies on exclusive creation and rename, as HDFS and local disks have them; object stores need
+    a committer of their own). A run that dies before that leaves nothing that a reader sees, so its numbers are gaps
+    again for the next run; numbers that became available late lie in gaps as well. Nothing is skipped and nothing is
+    processed twice.
     """
 
     def __init__(self, spark: SparkSession, root: str, width: int = 1_000_000):
         self.spark, self.root, self.width = spark, root.rstrip("/"), width
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        self.log = CommitLog(spark, self.root)
 
     def version(self) -> int:
         """The last published version, 0 before any."""
-        if not self._fs.exists(self._path("commits")):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("commits"))]
-        return max([int(n) for n in names if n.isdigit()], default=0)
-
-    def _commit(self, version: int) -> dict:
-        stream = self._fs.open(self._path(f"commits/{version}"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.log.version()
 
     def processed(self) -> DataFrame:
         """Disjoint ranges that published runs have processed."""
-        at = self.version()
-        if not at:
+        _, last = self.log.last()
+        if last is None:
             return self.spark.createDataFrame([], "lo long, hi long")
-        return self.spark.read.schema("lo long, hi long").parquet(f"{self.root}/{self._commit(at)['folder']}/intervals")
+        return self.spark.read.schema("lo long, hi long").parquet(f"{self.root}/{last['folders'][-1]}/intervals")
 
     def outputs(self) -> DataFrame | None:
         """Everything published runs have written, None before the first."""
-        folders = [f"{self.root}/{self._commit(v)['folder']}/output" for v in range(1, self.version() + 1)]
-        return self.spark.read.parquet(*folders) if folders else None
+        _, last = self.log.last()
+        return self.spark.read.parquet(*[f"{self.root}/{f}/output" for f in last["folders"]]) if last else None
 
-    def pending(self, source: DataFrame, number: str) -> DataFrame:
+    def pending(self, source: DataFrame, number: str, available: DataFrame | None = None) -> DataFrame:
         """Rows of ``source`` whose sequence number no published run has processed; a null number is never due."""
-        return self._within(source, number, self._gaps(source, number))
+        return self._within(source, number, cut_lineage(self._gaps(source, number, available), "gaps"))
+
+    def _gaps(self, source: DataFrame, number: str, available: DataFrame | None) -> DataFrame:
+        have = ranges_of(source, number, width=self.width) if available is None else available
+        return subtract_intervals(have, self.processed(), [], width=self.width)
 
-    def _gaps(self, source: DataFrame, number: str) -> DataFrame:
-        return subtract_intervals(ranges_of(source, number, width=self.width), self.processed(), [], width=self.width)
+    def run(self, source: DataFrame, number: str, process: Callable[[DataFrame], DataFrame], available: DataFrame | None = None) -> int | None:
+        """Process what is pending and publish; the new version, or None where another run published first.
 
-    def run(self, source: DataFrame, number: str, process: Callable[[DataFrame], DataFrame]) -> int | None:
-        """Process what is pending and publish; the new version, or None where another run published first."""
-        base = self.version()
+        ``available``: the ranges (lo, hi) of the numbers in ``source``, from a catalogue, partitions or
+        ``ranges_of_files``; without it the numbers are read. They must not claim numbers that may still arrive.
+        """
+        base, last = self.log.last()
         folder = f"runs/{base + 1:08d}-{uuid.uuid4().hex}"
         # the gaps are written first: what is processed is what they claim, even if the source grows meanwhile
-        self._gaps(source, number).write.parquet(f"{self.root}/{folder}/gaps")
+        self._gaps(source, number, available).write.parquet(f"{self.root}/{folder}/gaps")
         gaps = self.spark.read.schema("lo long, hi long").parquet(f"{self.root}/{folder}/gaps")
         merge_intervals(self.processed().unionByName(gaps), [], width=self.width).write.parquet(f"{self.root}/{folder}/intervals")
         process(self._within(source, number, gaps)).write.parquet(f"{self.root}/{folder}/output")
-        pending = self._path(f"{folder}/_commit")
-        stream = self._fs.create(pending, False)
-        stream.write(bytearray(json.dumps({"folder": folder, "base": base}).encode()))
-        stream.close()
-        self._fs.mkdirs(self._path("commits"))
-        target = self._path(f"commits/{base + 1}")
-        if self._fs.exists(target) or not self._fs.rename(pending, target):
-            return None
-        return base + 1
+        return self.log.publish(base, {"folders": [*(last["folders"] if last else []), folder]})
 
     def _within(self, rows: DataFrame, number: str, ranges: DataFrame) -> DataFrame:
-        """Rows whose number lies in a range. Ranges are cut at bucket borders, so the join has an equality to hash on."""
+        """Rows whose number lies in a range. The ends of all ranges reach the scan, which skips what lies before them;
+        ranges are cut at bucket borders, so the join has an equality to hash on."""
         lo, hi, piece = fresh("lo"), fresh("hi"), fresh("piece")
-        cut = ranges.select(F.explode(F.sequence(F.floor(F.col("lo") / self.width), F.floor(F.col("hi") / self.width))).alias(piece), F.col("lo").alias(lo), F.col("hi").alias(hi))
+        ends = ranges.agg(F.min("lo"), F.max("hi")).first()
         n = F.col(number).cast("long")
-        return rows.join(cut, (F.floor(n / self.width) == F.col(piece)) & n.between(F.col(lo), F.col(hi)), "left_semi")
+        if ends[0] is None:
+            return rows.where("false")
+        cut = ranges.select(F.explode(F.sequence(F.floor(F.col("lo") / self.width), F.floor(F.col("hi") / self.width))).alias(piece), F.col("lo").alias(lo), F.col("hi").alias(hi))
+        return rows.where(n.between(*ends)).join(cut, (F.floor(n / self.width) == F.col(piece)) & n.between(F.col(lo), F.col(hi)), "left_semi")

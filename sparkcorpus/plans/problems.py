@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions.urls import host
 from sparkcorpus.operators.instants import normalise_instants
-from sparkcorpus.operators.intervals import LOWEST, subtract_intervals
+from sparkcorpus.operators.intervals import HIGHEST, LOWEST, IntervalLedger, merge_intervals, subtract_intervals
 from sparkcorpus.operators.snapshots import changes_between, latest_version
-from sparkcorpus.session import table
+from sparkcorpus.session import shared_dir, table
 
 
 def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,34 +36,69 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cols(site, "sitemap", site_key).unionByName(cols(meta, "metadata", F.col("id").cast("string")))
 
 
+_DAY_US = 86_400_000_000
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """article_id, reason of the articles due in the next run of the index.
 
-    An article's sequence number is the instant of the version that holds. Its chunks have processed everything up
-    to the oldest of them, so a run that did only a part leaves a gap. Both sides are reduced to one row an article
-    before they meet; no instant is the lowest number, which any chunk covers.
+    An article's sequence number is the instant of the version that holds; no instant is the lowest number, which any
+    chunk covers. What a chunk leaves undone of its article are all numbers behind its own; these ranges, merged over the
+    article's chunks, are taken from all numbers, and what is left has been processed by every chunk, however many runs
+    did the article in part. A gap of the available number is an article that is due. Chunks of one day are reduced to the
+    oldest before anything is shuffled, so that an article with very many of them is a few rows.
     """
-    rows = table(spark, sf_dir, "articles").select("id", "row_id", "changed_at", "received_at", F.coalesce(F.col("xhtml_md").rlike(r"(?U)\S"), F.lit(False)).alias("has_text"))
-    rows = normalise_instants(rows, "changed_at", "utc_us", ["id"], "received_at")
+    rows = table(spark, sf_dir, "articles").select("id", "row_id", "changed_at", "received_at", "encyclopedia_id", F.coalesce(F.col("xhtml_md").rlike(r"(?U)\S"), F.lit(False)).alias("has_text"))
+    rows = normalise_instants(rows, "changed_at", "utc_us", ["id"], "received_at", by=["encyclopedia_id"])
     rows = latest_version(rows.where(F.col("id").isNotNull()), ["id"], "utc_us", ["received_at", "row_id", "has_text"]).where("has_text")
     at = F.coalesce("utc_us", F.lit(LOWEST))
     available = rows.select(F.col("id").alias("article_id"), at.alias("lo"), at.alias("hi"))
-    chunks = table(spark, sf_dir, "article_chunks").groupBy(F.col("source_article_id").alias("article_id")).agg(F.min(F.coalesce(F.unix_micros("last_updated"), F.lit(LOWEST))).alias("hi"))
-    processed = chunks.select("article_id", F.lit(LOWEST).alias("lo"), "hi")
+    done = F.coalesce(F.unix_micros("last_updated"), F.lit(LOWEST))
+    chunks = table(spark, sf_dir, "article_chunks").groupBy(F.col("source_article_id").alias("article_id"), F.floor(done / _DAY_US).alias("day")).agg(F.min(done).alias("done"))
+    undone = merge_intervals(chunks.select("article_id", (F.col("done") + 1).alias("lo"), F.lit(HIGHEST).alias("hi")), ["article_id"])
+    every = chunks.select("article_id", F.lit(LOWEST).alias("lo"), F.lit(HIGHEST).alias("hi"))
+    processed = subtract_intervals(every, undone, ["article_id"])
     gaps = subtract_intervals(available, processed, ["article_id"])
-    known = chunks.select("article_id", F.lit(True).alias("known"))
+    known = processed.groupBy("article_id").agg(F.lit(True).alias("known"))
     return gaps.join(known, "article_id", "left").select("article_id", F.when(F.col("known"), "changed").otherwise("added").alias("reason"))
 
 
+class _Failed(Exception):
+    """A run that ends before it has published."""
+
+
+def p2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entry_id, run_id of the run that processed each site-map entry, when the runs of the index in ``index_runs`` are
+    replayed in order: each is given what had arrived when it started, entries come late and out of order, a run that
+    failed dies before it publishes, and one that is running is left out."""
+    runs = table(spark, sf_dir, "index_runs").where("index_name = 'article_chunks' and status <> 'running'").orderBy("started_at").select("run_id", "started_at", "status").collect()
+    entries = table(spark, sf_dir, "sitemap_entries").select("entry_id", "received_at")
+    ledger = IntervalLedger(spark, shared_dir(spark, "ledger"))
+
+    def work(run, due: DataFrame) -> DataFrame:
+        if run["status"] != "success":
+            due.count()
+            raise _Failed
+        return due.select("entry_id", F.lit(run["run_id"]).alias("run_id"))
+
+    for run in runs:
+        try:
+            ledger.run(entries.where(F.col("received_at") <= F.lit(run["started_at"])), "entry_id", partial(work, run))
+        except _Failed:
+            continue
+    done = ledger.outputs()
+    return done if done is not None else entries.select("entry_id", F.lit(0).alias("run_id")).where("false")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feed, row_key, utc_us of every delivered value that denotes an instant."""
-    a = normalise_instants(table(spark, sf_dir, "articles").select("row_id", "id", "changed_at", "received_at"), "changed_at", "utc_us", ["id"], "received_at")
-    s = normalise_instants(table(spark, sf_dir, "sitemap_entries").select("entry_id", "permalink", "lastmod", "received_at"), "lastmod", "utc_us", ["permalink"], "received_at")
+    a = normalise_instants(table(spark, sf_dir, "articles").select("row_id", "id", "changed_at", "received_at", "encyclopedia_id"), "changed_at", "utc_us", ["id"], "received_at", by=["encyclopedia_id"])
+    s = normalise_instants(table(spark, sf_dir, "sitemap_entries").select("entry_id", "permalink", "lastmod", "received_at", "encyclopedia_id"), "lastmod", "utc_us", ["permalink"], "received_at", by=["encyclopedia_id"])
     cols = lambda df, feed, key: df.where("utc_us is not null").select(F.lit(feed).alias("feed"), F.col(key).alias("row_key"), "utc_us")
     return cols(a, "article", "row_id").unionByName(cols(s, "sitemap", "entry_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ledger": p2_ledger, "p6_found": p6_found}
 
 # -- the same in SQL: notations by pattern, offsets by trial (summer time where the clock then shows the value, else standard time)
 
@@ -107,5 +144,7 @@ ORACLES = {
         (SELECT a.id, a.xhtml_md, i.utc_us FROM articles a JOIN {_instants_sql(_ARTICLE_VALUES)} i ON i.row_key = a.row_id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY i.utc_us DESC NULLS LAST, a.received_at DESC, a.row_id DESC) = 1) a
         LEFT JOIN (SELECT source_article_id, min(epoch_us(last_updated)) AS u FROM article_chunks GROUP BY 1) c ON c.source_article_id = a.id
         WHERE regexp_matches(coalesce(a.xhtml_md, ''), '[^\s\x0B\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]') AND (c.u IS NULL OR a.utc_us > c.u)""",
+    "p2_ledger": """SELECT entry_id, run_id FROM (SELECT s.entry_id, r.run_id, row_number() OVER (PARTITION BY s.entry_id ORDER BY r.started_at) AS n FROM sitemap_entries s
+        JOIN index_runs r ON r.index_name = 'article_chunks' AND r.status = 'success' AND s.received_at <= r.started_at) WHERE n = 1""",
     "p6_found": f"SELECT * FROM (SELECT * FROM {_instants_sql(_ARTICLE_VALUES)} UNION ALL SELECT * FROM {_instants_sql(_SITEMAP_VALUES)}) WHERE utc_us IS NOT NULL",
 }

@@ -4,7 +4,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from sparkcorpus.operators.intervals import IntervalLedger, merge_intervals, ranges_of, subtract_intervals
+from sparkcorpus.operators import commits
+from sparkcorpus.operators.commits import CommitLog
+from sparkcorpus.operators.intervals import IntervalLedger, merge_intervals, ranges_of, ranges_of_files, subtract_intervals
 
 SCHEMA = "k int, lo long, hi long"
 
@@ -79,3 +81,25 @@ def test_a_second_writer_cannot_publish_the_same_version(spark, tmp_path):
 
     assert ledger.run(source, "seq", slow) is None
     assert ledger.version() == 1
+
+
+def test_ranges_come_from_footers_where_files_are_dense(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for numbers in (range(0, 100), range(100, 150), [*range(150, 160), 170, 171], [None, 200], [300]):
+        spark.createDataFrame([(n, "x") for n in numbers], "seq long, v string").coalesce(1).write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    assert sorted(tuple(r) for r in ranges_of_files(df, "seq").collect()) == [(0, 159), (170, 171), (200, 200), (300, 300)]
+    ledger = IntervalLedger(spark, str(tmp_path / "ledger"), width=16)
+    assert ledger.run(df.where("seq < 120"), "seq", lambda d: d, available=spark.createDataFrame([(0, 119)], "lo long, hi long")) == 1
+    assert sorted(r[0] for r in ledger.pending(df, "seq", available=ranges_of_files(df, "seq")).select("seq").collect()) == [*range(120, 160), 170, 171, 200, 300]
+    assert ranges_of_files(spark.createDataFrame([(1,), (2,)], "seq long"), "seq").collect()[0][:] == (1, 2)
+
+
+def test_the_lock_of_a_dead_writer_is_taken_over(spark, tmp_path, monkeypatch):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    assert log.last() == (0, None) and log.publish(0, {"a": 1}) == 1
+    log.fs.createNewFile(log.path("commits/2.lock"))
+    assert log.publish(1, {"a": 2}) is None and log.version() == 1
+    monkeypatch.setattr(commits, "STALE", -1)
+    assert log.publish(1, {"a": 2}) == 2 and log.last() == (2, {"a": 2})
+    assert log.publish(1, {"a": 3}) is None and log.last() == (2, {"a": 2})
