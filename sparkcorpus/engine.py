@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions.text import parse_answer
-from sparkcorpus.operators import fulltext, fusion, nearest
+from sparkcorpus.operators import fulltext, fusion, nearest, providers
 from sparkcorpus.operators.embedding import dimensions, embedded
 from sparkcorpus.operators.markdown import article_markdown
 from sparkcorpus.operators.store import Store
 from sparkcorpus.operators.sync import categorised, guarded, located, newest_entries, status_counts
+from sparkcorpus.session import cut_lineage
 from sparkcorpus.sources.sitemap import fetch_sitemaps, fetched, parse_sitemaps
 
 
@@ -142,21 +143,35 @@ class Engine:
     # -- upkeep
 
     def plan_sync(self, sitemaps: dict[int, str], fetch, encyclopedia_ids: list[int] | None = None) -> DataFrame:
-        """What new, modified and deleted articles the sites list; nothing is deleted unless every site map could be read."""
-        wanted = {i: u for i, u in sitemaps.items() if encyclopedia_ids is None or i in encyclopedia_ids}
+        """What new, modified and deleted articles the sites list; nothing is deleted unless every site map could be read.
+
+        ``sitemaps``: the address of each site's map by encyclopedia id. Ids that are asked for and have none are an error.
+        """
+        return self._plan(sitemaps, fetch, encyclopedia_ids)[0]
+
+    def _plan(self, sitemaps: dict[int, str], fetch, encyclopedia_ids: list[int] | None) -> tuple[DataFrame, dict]:
+        unknown = set(encyclopedia_ids or []) - set(sitemaps)
+        if unknown:
+            raise ValueError(f"unknown encyclopedia ids: {sorted(unknown)}")
+        wanted = {i: u for i, u in sitemaps.items() if not encyclopedia_ids or i in encyclopedia_ids}
         documents, good = fetch_sitemaps(self.spark, wanted, fetch)
         entries = newest_entries(parse_sitemaps(documents, "xml").select("url", "lastmod"))
         plan = categorised(located(entries, self.encyclopedias), self.store.articles(), sorted(wanted))
-        return guarded(plan, good == set(wanted))
-
-    def sync(self, sitemaps: dict[int, str], fetch, encyclopedia_ids: list[int] | None = None, dry_run: bool = False, skip_indexes: bool = False) -> dict:
-        """Plan, fetch, upsert, delete, refresh every index; the counts of each step. A dry run writes nothing."""
-        plan = self.plan_sync(sitemaps, fetch, encyclopedia_ids)
-        stats: dict = {r["status"]: r["n"] for r in status_counts(plan).collect()}
-        bodies = fetched(plan.where("status in ('new', 'modified')"), "url", fetch)
-        stats["written"], stats["failed"] = self.store.upsert_articles(article_markdown(bodies.select("body"), "body"), self.encyclopedias, dry_run)
-        stats["removed"] = self.store.delete_articles(plan.where("status = 'deleted'").select("id"), dry_run)
-        stats["indexes"] = {} if dry_run or skip_indexes else self.refresh_indexes()
+        # written once: fetching and deleting must follow the same plan, whatever the store becomes meanwhile
+        plan = cut_lineage(guarded(plan, good == set(wanted)), "plan")
+        return plan, {"sitemaps": len(good), "sitemaps_wanted": len(wanted), "deletions_skipped": good != set(wanted)}
+
+    def sync(self, sitemaps: dict[int, str], fetch, encyclopedia_ids: list[int] | None = None, dry_run: bool = False, skip_indexes: bool = False, skip_scraping: bool = False, indexes: list[str] | None = None) -> dict:
+        """Plan, fetch, upsert, delete, refresh the indexes; the counts of each step. A dry run writes nothing, and each page is fetched once."""
+        stats: dict = {}
+        if not skip_scraping:
+            plan, stats = self._plan(sitemaps, fetch, encyclopedia_ids)
+            stats |= dict.fromkeys(("new", "modified", "unchanged", "deleted"), 0) | {r["status"]: r["n"] for r in status_counts(plan).collect()}
+            bodies = cut_lineage(fetched(plan.where("status in ('new', 'modified')"), "url", fetch), "pages")
+            stats["attempted"], stats["fetched"] = stats["new"] + stats["modified"], bodies.count()
+            stats["written"], stats["failed"] = self.store.upsert_articles(article_markdown(bodies.select("body"), "body"), self.encyclopedias, dry_run)
+            stats["removed"] = self.store.delete_articles(plan.where("status = 'deleted'").select("id"), dry_run)
+        stats["indexes"] = {} if dry_run or skip_indexes else self.refresh_indexes(indexes)
         return stats
 
     def refresh_indexes(self, names: list[str] | None = None) -> dict[str, dict]:
@@ -169,3 +184,18 @@ class Engine:
                 except Exception as e:  # noqa: BLE001
                     out[r[0]] = {"error": str(e)[:200]}
         return out
+
+    def benchmark_embeddings(self, model: str = "intfloat/multilingual-e5-small", num_texts: int = 50, text_length: int = 200) -> dict:
+        """Speed of a model's provider on random texts (see ``providers.benchmark``)."""
+        return providers.benchmark(model, num_texts, text_length, self.make)
+
+
+def sync_summary(stats: dict, dry_run: bool = False) -> str:
+    """The counts of a sync as lines of text."""
+    lines = [f"mode: {'dry run' if dry_run else 'live'}"]
+    lines += [f"{k.replace('_', ' ')}: {v}" for k, v in stats.items() if k != "indexes"]
+    if stats.get("deletions_skipped"):
+        lines.append(f"deletions skipped: {stats['sitemaps']} of {stats['sitemaps_wanted']} site maps could be read")
+    for name, done in stats.get("indexes", {}).items():
+        lines.append(f"index {name}: " + (f"ERROR {done['error']}" if "error" in done else ", ".join(f"{v} {k}" for k, v in done.items())))
+    return "\n".join(lines)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,22 @@ from sparkcorpus.functions.timestamps import strip
 
 __all__ = ["strip"]
 
-#: The footer that ends an article, and headings of sections that hold only links.
-FOOTER = r"(?isuU)#*Læs\s+mere\si\s\p{L}+.*$"
-BOILERPLATE = (
-    r"(?isuU)#{2,6}\s+Læs\s+mere\s+i\s+\p{L}+.*?(?=#{1,6}\s|\z)",
-    r"(?isuU)#{2,6}\s+Se\s+også.*?(?=#{1,6}\s|\z)",
-    r"(?isuU)#{2,6}\s+Relateret.*?(?=#{1,6}\s|\z)",
-    r"(?isuU)#{2,6}\s+Eksterne\s+links?.*?(?=#{1,6}\s|\z)",
-    r"(?isuU)#{2,6}\s+External\s+links?.*?(?=#{1,6}\s|\z)",
-    r"(?isuU)#{2,6}\s+Det\s+sker.*?(?=#{1,6}\s|\z)",
-    r"(?isuU)Læs\s+mere\s+i\s+\p{L}+\s*:\s*",
-)
+def footer_of(site: str) -> str:
+    """Pattern of the footer with which a site's articles end; fixed but for the site's name."""
+    return rf"(?isuU)#*Læs\s+mere\si\s{re.escape(site)}.*$"
+
+
+#: Headings of sections that hold only links.
+_LINK_SECTIONS = (r"Se\s+også", r"Relateret", r"Eksterne\s+links?", r"External\s+links?", r"Det\s+sker")
+
+
+def boilerplate_of(site: str | None) -> list[str]:
+    """Patterns of what clean Markdown leaves out: sections of links, and mentions of the site's own pages."""
+    own = [rf"Læs\s+mere\s+i\s+{re.escape(site)}"] if site else []
+    heads = [rf"(?isuU)#{{2,6}}\s+{name}.*?(?=#{{1,6}}\s|\z)" for name in [*own, *_LINK_SECTIONS]]
+    return heads + [rf"(?isuU){name}\s*:\s*" for name in own]
+
+
 _OPEN, _SHUT = "\u0001", "\u0002"
 
 
@@ -28,10 +35,10 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
-def clean_markdown(text: Column) -> Column:
-    """Without link sections; runs of blank lines become one. Null gives ''."""
+def clean_markdown(text: Column, site: str | None = None) -> Column:
+    """Without link sections; runs of blank lines become one. Null gives ''. ``site``: the name under which a site's own pages are mentioned."""
     out = F.coalesce(text, F.lit(""))
-    for pattern in BOILERPLATE:
+    for pattern in boilerplate_of(site):
         out = F.regexp_replace(out, pattern, "")
     return strip(F.regexp_replace(out, "\n\n\n+", "\n\n"))
 
@@ -49,22 +56,22 @@ def _content(part: Column) -> Column:
     return strip(F.split_part(part, F.lit(_SHUT), F.lit(2)))
 
 
-def sections(text: Column, footer: str | None = FOOTER, anchored: bool = False) -> Column:
+def sections(text: Column, site: str | None = None, anchored: bool = False) -> Column:
     """array<string>: heading and content of each section of level 1 to 3, first occurrences only.
 
     Text before the first heading is no section. Blank and null texts have none. ``anchored`` takes only marks at the
-    start of a line for headings.
+    start of a line for headings. ``site``: its footer, and all behind it, goes first.
     """
-    body = F.regexp_replace(text, footer, "") if footer else text
+    body = F.regexp_replace(text, footer_of(site), "") if site else text
     # the footer goes before the cut, so that a heading inside it is none
     parts = F.slice(_marked(body, 3, anchored), 2, 1_000_000)
     joined = F.transform(parts, lambda p: strip(F.concat(_heading(p), F.lit("\n"), _content(p))))
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(joined, lambda s: s != "")))
 
 
-def sections_with_headings(text: Column, footer: str | None = FOOTER) -> Column:
+def sections_with_headings(text: Column, site: str | None = None) -> Column:
     """array<struct<heading, content>> of sections of level 1 to 6; text before the first heading has heading ''."""
-    body = F.regexp_replace(text, footer, "") if footer else text
+    body = F.regexp_replace(text, footer_of(site), "") if site else text
     parts = _marked(body, 6, False)
     pair = lambda h, c: F.struct(h.alias("heading"), c.alias("content"))
     first = F.filter(F.array(pair(F.lit(""), strip(parts[0]))), lambda s: s["content"] != "")

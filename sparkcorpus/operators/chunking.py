@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkcorpus.functions import text as tx
+from sparkcorpus.functions.tokens import MakeEncoder, token_windows
 
 STRATEGIES = ("tokens", "characters", "sections", "semantic_chunks")
 # Abbreviations behind which a sentence goes on.
@@ -48,29 +51,18 @@ def pack_sentences(heading: str, content: str, least: int = 5, size: int = 250,
     case.
     """
     sentences = [s.split() for s in split_sentences(content)]
-    total = sum(map(len, sentences))
-    if total < least:
-        return []
-    groups: list[list[list[str]]] = []
-    if total < size:
-        groups = [sentences]
-    else:
-        held: list[list[str]] = []
-        count = 0
-        for s in sentences:
-            if count >= least and count + len(s) >= size:
-                groups.append(held)
-                tail, room = 0, overlap
-                while tail < len(held) and len(held[-1 - tail]) <= room:
-                    room -= len(held[-1 - tail])
-                    tail += 1
-                held = held[len(held) - tail :]
-                count = overlap - room
-            held = [*held, s]
-            count += len(s)
-        if held and count >= least:
-            groups.append(held)
-    out = [_joined([w for s in g for w in s]) for g in groups]
+    # words before each sentence; where a chunk ends and the next begins are places in these sums
+    sums = [0, *accumulate(map(len, sentences))]
+    ranges, start, at = [], 0, -1
+    while sums[-1] >= size:
+        at = max(at + 1, bisect_left(sums, sums[start] + least), bisect_left(sums, sums[start] + size) - 1)
+        if at >= len(sentences):
+            break
+        ranges.append((start, at))
+        start = bisect_left(sums, sums[at] - overlap, start, at)
+    if sums[-1] - sums[start] >= least:
+        ranges.append((start, len(sentences)))
+    out = [_joined([w for s in sentences[a:b] for w in s]) for a, b in ranges]
     if out and heading and out[0][:1].islower():
         out[0] = f"{heading} {out[0]}"
     return out
@@ -80,30 +72,34 @@ def _semantic(size: int, overlap: int, least: int):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def packed(parts: pd.Series) -> pd.Series:
         def one(sections) -> list[str]:
-            return [c for s in (sections if sections is not None else []) for c in pack_sentences(s["heading"], s["content"], least, size, overlap)]
+            return [c for s in (sections if sections is not None else []) for c in pack_sentences(s["heading"].lstrip("#").strip(), s["content"], least, size, overlap)]
 
         return parts.map(one)
 
     return packed
 
 
-def chunks(text: Column, strategy: str, size: int, overlap: int, least: int = 5) -> Column:
-    """array<string>: the chunks of a text by an index's strategy; an unknown one is an error."""
+def chunks(text: Column, strategy: str, size: int, overlap: int, least: int = 5, encoder: MakeEncoder | None = None, site: str | None = None) -> Column:
+    """array<string>: the chunks of a text by an index's strategy; an unknown one is an error.
+
+    "tokens" counts the tokens of ``encoder``, and white-space words without one. ``site`` names the site whose footers are cut.
+    """
     if strategy == "characters":
         return tx.chars(text, size, overlap)
     if strategy == "tokens":
-        return tx.words(text, size, overlap)
+        return token_windows(text, size, overlap, encoder) if encoder else tx.words(text, size, overlap)
     if strategy == "sections":
-        return tx.sections(text)
+        return tx.sections(text, site)
     if strategy == "semantic_chunks":
-        return _semantic(size, overlap, least)(tx.sections_with_headings(tx.clean_markdown(text)))
+        return _semantic(size, overlap, least)(tx.sections_with_headings(tx.clean_markdown(text, site), site))
     raise ValueError(f"unknown chunking strategy: {strategy}")
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str, strategy: str, size: int, overlap: int) -> DataFrame:
+def chunked(df: DataFrame, id_col: str, text_col: str, strategy: str, size: int, overlap: int, encoder: MakeEncoder | None = None, site: str | None = None) -> DataFrame:
     """source_article_id, chunk_sequence_id (from 0), chunk_text of every chunk; blank chunks are left out but counted.
 
     Texts that give no chunk have no row.
     """
-    rows = df.select(F.col(id_col).alias("source_article_id"), F.posexplode(chunks(F.col(text_col), strategy, size, overlap)).alias("chunk_sequence_id", "chunk_text"))
+    parts = chunks(F.col(text_col), strategy, size, overlap, encoder=encoder, site=site)
+    rows = df.select(F.col(id_col).alias("source_article_id"), F.posexplode(parts).alias("chunk_sequence_id", "chunk_text"))
     return rows.where(~tx.is_blank(F.col("chunk_text")))

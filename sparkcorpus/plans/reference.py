@@ -295,7 +295,7 @@ def _parts(levels: int) -> str:
     d AS (SELECT doc_id, section, min(i) AS i FROM c WHERE section <> '' GROUP BY 1, 2)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk, section FROM d""")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sections(F.col("text"), footer=None)).alias("chunk", "section"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sections(F.col("text"))).alias("chunk", "section"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_parts(6)} AS parts FROM documents WHERE text IS NOT NULL),
@@ -304,7 +304,7 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT doc_id, heading, content, min(i) AS i FROM c WHERE i > 1 OR content <> '' GROUP BY 1, 2, 3)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section_no, heading, content FROM d""")
 def sections_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sections_with_headings(F.col("text"), footer=None)).alias("section_no", "s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sections_with_headings(F.col("text"))).alias("section_no", "s"))
     return rows.select("doc_id", "section_no", "s.heading", "s.content")
 
 

@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 from sparkcorpus import cli
-from sparkcorpus.engine import Engine, NotFound, parse_encyclopedia_ids, parse_ids
+from sparkcorpus.engine import Engine, NotFound, parse_encyclopedia_ids, parse_ids, sync_summary
 from sparkcorpus.operators import sync
 from sparkcorpus.operators.embedding import HashProvider, RetryingProvider, WindowLimiter, dimensions, request_batches
 from sparkcorpus.operators.markdown import article_markdown
-from sparkcorpus.operators.store import Store
+from sparkcorpus.operators.store import ARTICLES, Store
 from sparkcorpus.sources import jsonl, sitemap, sqlite
 from sparkcorpus.streaming.incremental import upsert_stream, windowed_counts
 
@@ -237,6 +237,76 @@ def test_streams(spark, tmp_path, places):
     lines = spark.readStream.text(str(folder))
     for _ in range(2):
         upsert_stream(lines, store, places, str(tmp_path / "cp")).awaitTermination()
-    assert store.articles().count() == 2 and store.version("articles")[0] == 1
+    assert store.articles().count() == 2 and store.version("articles") == 1
     events = spark.createDataFrame([(datetime(2024, 1, 1, 1, 5), "a"), (datetime(2024, 1, 1, 1, 50), "a")], "ts timestamp_ntz, kind string")
     assert windowed_counts(events, "ts", ["kind"]).first()["n"] == 2
+
+
+def test_a_change_leaves_untouched_buckets_alone(spark, tmp_path, places):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    loaded(spark, store, places, *[article(i) for i in range(1, 41)])
+    store.create_index("idx", strategy="characters", size=60, overlap=10)
+    store.refresh_index("idx")
+    before = store._log("articles").payload(1)["files"]
+    assert len(before) > 4
+    loaded(spark, store, places, article(3, "<p>Ny tekst.</p>"))
+    after = store._log("articles").payload(2)["files"]
+    assert sum(before[k] != after[k] for k in before) == 1 and store.articles().count() == 40
+    chunks = store._log("idx").last()[1]["files"]
+    assert store.refresh_index("idx")["deleted"] == 0 and store._log("idx").last()[1]["files"] == chunks
+    assert store.remove_article("idx", 7) > 0
+    now = store._log("idx").last()[1]["files"]
+    assert sum(chunks[k] != now.get(k) for k in chunks) == 1
+    with pytest.raises(RuntimeError):
+        store.write("articles", ARTICLES, change=lambda old: (loaded(spark, store, places, article(3)), old)[1], touched=spark.createDataFrame([(3,)], "id long"))
+
+
+def test_deleting_survives_a_crash_between_the_tables(spark, tmp_path, places, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    loaded(spark, store, places, article(1), article(2))
+    store.create_index("idx", strategy="characters", size=60, overlap=10)
+    store.refresh_index("idx")
+    ids = spark.createDataFrame([(1,)], "i long")
+    write = Store.write
+
+    def dying(self, name, *a, **k):
+        if name == "articles":
+            raise OSError("lost")
+        return write(self, name, *a, **k)
+
+    monkeypatch.setattr(Store, "write", dying)
+    with pytest.raises(OSError):
+        store.delete_articles(ids)
+    assert store.index("idx").where("source_article_id = 1").count() == 0
+    monkeypatch.undo()
+    assert store.delete_articles(ids) == 1 and store.articles().count() == 1
+    # chunks whose article is gone already go as well
+    v = spark.createDataFrame([(1, 0, "a", [0.5] * 4)], "source_article_id long, chunk_sequence_id int, chunk_text string, embedding array<float>")
+    store.add_chunks("idx", v)
+    assert store.delete_articles(ids) == 0 and store.index("idx").where("source_article_id = 1").count() == 0
+
+
+def test_sync_command_fetches_each_page_once(spark, tmp_path, places):
+    sites = str(tmp_path / "sites")
+    places.where("encyclopedia_id = 1").write.parquet(sites)
+    log = tmp_path / "log"
+    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/art_1</loc><lastmod>2024-01-01</lastmod></url></urlset>'
+    page = article(1)
+
+    def fetch(url):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        return xml if url.endswith(".xml") else page
+
+    root = ["--root", str(tmp_path / "s"), "--encyclopedias", sites]
+    cli.main(["create-index", *root, "--index", "idx", "--strategy", "characters"])
+    dry = cli.main(["sync", *root, "--dry-run"], fetch)
+    assert (dry["new"], dry["fetched"], dry["written"], dry["indexes"]) == (1, 1, 1, {})
+    log.unlink()
+    done = cli.main(["sync", *root, "--encyclopedia-ids", "1"], fetch)
+    assert done["written"] == 1 and done["indexes"]["idx"]["created"] == 1
+    assert sorted(log.read_text().split()) == ["https://a.example/art_1.json", "https://a.example/sitemap.xml"]
+    assert cli.main(["sync", *root, "--skip-scraping", "--index", "other"], fetch) == {"indexes": {}}
+    with pytest.raises(ValueError):
+        cli.main(["sync", *root, "--encyclopedia-ids", "9"], fetch)
+    assert "index idx: 1 created" in sync_summary(done) and "deletions skipped: 1 of 2" in sync_summary({"sitemaps": 1, "sitemaps_wanted": 2, "deletions_skipped": True, "indexes": {"x": {"error": "no"}}}, True)

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions import text as tx
@@ -32,10 +34,14 @@ def test_words(spark):
 
 def test_sections(spark):
     text = "før\n# A\nen\n## B\n\nto\n# A\nen\n### Læs mere i Værket\n- x"
-    assert value(spark, tx.sections, text) == ["# A\nen", "## B\nto", "# A\nen\n###"]
+    own = lambda t: tx.sections(t, "Værket")
+    assert value(spark, own, text) == ["# A\nen", "## B\nto", "# A\nen\n###"]
+    assert value(spark, tx.sections, text) == ["# A\nen", "## B\nto", "### Læs mere i Værket\n- x"]
+    # only the site's own name makes a footer
+    assert value(spark, own, "# A\nBody one. Læs mere i bogen om emnet.\n# B\nBody two") == ["# A\nBody one. Læs mere i bogen om emnet.", "# B\nBody two"]
     assert value(spark, tx.sections, "C# sprog") == ["# sprog"]
     assert value(spark, lambda t: tx.sections(t, anchored=True), "C# sprog") == []
-    got = value(spark, tx.sections_with_headings, text)
+    got = value(spark, lambda t: tx.sections_with_headings(t, "Værket"), text)
     assert [(r["heading"], r["content"]) for r in got] == [("", "før"), ("# A", "en"), ("## B", "to"), ("# A", "en\n###")]
     assert value(spark, tx.sections, None) == [] and value(spark, tx.sections_with_headings, " ") == []
 
@@ -44,6 +50,8 @@ def test_clean_markdown(spark):
     text = "# A\ntekst\n\n\n\nmere\n## Se også\n- link\n## Navn\nslut"
     assert value(spark, tx.clean_markdown, text) == "# A\ntekst\n\nmere\n## Navn\nslut"
     assert value(spark, tx.clean_markdown, None) == ""
+    text = "## A\nx Læs mere i Værket: y\n### Læs mere i Værket\nz\n## B\nw"
+    assert value(spark, lambda t: tx.clean_markdown(t, "Værket"), text) == "## A\nx y\n## B\nw" and value(spark, tx.clean_markdown, text) == text
 
 
 def test_answers(spark):
@@ -100,6 +108,34 @@ def test_sentences_and_packing():
     assert pack_sentences("", "", 5, 250, 30) == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=14), st.integers(1, 8), st.integers(2, 25), st.integers(0, 9))
+def test_packing_against_the_greedy_rule(lengths, least, size, overlap):
+    content = " ".join(f"S{k} " + "o " * (n - 2) + "x." if n > 1 else f"S{k}." for k, n in enumerate(lengths))
+    want, held = [], []
+    words = lambda part: sum(len(s.split()) for s in part)
+    units = split_sentences(content)
+    for s in units if words(units) >= size else []:
+        if words(held) + len(s.split()) >= size and words(held) >= least:
+            want.append(held)
+            tail = []
+            for t in reversed(held):
+                if words([t, *tail]) > overlap:
+                    break
+                tail = [t, *tail]
+            held = tail
+        held = [*held, s]
+    if words(units) < size:
+        held = units
+    if held and words(held) >= least:
+        want.append(held)
+    assert pack_sentences("", content, least, size, overlap) == [" ".join(w for s in part for w in s.split()) for part in want]
+
+
+def test_semantic_headings_lose_their_marks(spark):
+    assert value(spark, lambda t: chunks(t, "semantic_chunks", 250, 30), "## Foo bar\nen lille by ved havet") == ["Foo bar en lille by ved havet"]
+
+
 def test_strategies(spark):
     assert value(spark, lambda t: chunks(t, "semantic_chunks", 250, 30), "# A\nDette er en kort tekst her.") == ["Dette er en kort tekst her."]
     with pytest.raises(ValueError):
