@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions.vectors import right_size
+from sparkcorpus.session import cut_lineage
 
 #: Bytes of query vectors that go to every task at once; a larger query set is searched in several passes.
 QUERY_BYTES = 32 * 1024 * 1024
 
 
-def _unit(rows: list, dims: int) -> np.ndarray:
-    x = np.array(rows, np.float64).reshape(-1, dims)
-    return x
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of a column of arrays of one length, without a Python object for each number."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(-1, dims)
 
 
 def _best_of(index: DataFrame, names: list, q: np.ndarray, dims: int, k: int) -> DataFrame:
@@ -25,7 +28,7 @@ def _best_of(index: DataFrame, names: list, q: np.ndarray, dims: int, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float64).reshape(-1, dims)
+            x = _matrix(batch.column("v"), dims)
             length = np.linalg.norm(x, axis=1)
             ids = batch.column("id").to_numpy()
             good = length > 0
@@ -43,28 +46,30 @@ def nearest(index: DataFrame, id_col: str, vector_col: str, queries: DataFrame,
     """query, id, distance, rank: the k rows nearest to each query vector by cosine distance (six places), ties by id.
 
     Null vectors, zero vectors and vectors of another length take no part on either side. Each task keeps its own best k
-    of a query for every batch, so what is shuffled is bounded by batches, not rows. The query vectors are counted
-    first and sent in blocks of at most ``QUERY_BYTES``.
+    of a query for every batch, so what is shuffled is bounded by batches, not rows. The query vectors are sent in blocks
+    of at most ``QUERY_BYTES``; with several blocks each one's result is written before the next is read, so that the
+    driver holds one at a time.
     """
     asked = queries.where(right_size(F.col(query_vector), dims)).select(F.col(query_col).cast("long").alias("query"), F.col(query_vector).alias("v"))
     rows = index.where(right_size(F.col(vector_col), dims) & ~F.exists(vector_col, lambda x: x.isNull())).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    block, found, names, vectors = max(1, QUERY_BYTES // (8 * dims)), None, [], []
+    block, parts, names, vectors = max(1, QUERY_BYTES // (8 * dims)), [], [], []
 
-    def flush():
-        nonlocal found, names, vectors
+    def flush(last: bool) -> None:
         if names:
-            part = _best_of(rows, names, _unit(vectors, dims), dims, k)
-            found = part if found is None else found.unionByName(part)
-        names, vectors = [], []
+            part = _best_of(rows, list(names), np.array(vectors, np.float64).reshape(-1, dims), dims, k)
+            parts.append(part if last and not parts else cut_lineage(part, "nearest"))
+        names.clear()
+        vectors.clear()
 
     for r in asked.toLocalIterator():
         if None not in r["v"] and any(r["v"]):
+            if len(names) == block:
+                flush(False)
             names.append(r["query"])
             vectors.append(list(r["v"]))
-            if len(names) == block:
-                flush()
-    flush()
-    if found is None:
+    flush(True)
+    if not parts:
         return rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
+    found = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("query").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcorpus.functions import urls, vectors
+from sparkcorpus.engine import Engine
 from sparkcorpus.functions import text as tx
+from sparkcorpus.functions import tokens, urls, vectors
 from sparkcorpus.operators import chunking, embedding, fulltext, fusion, markdown, nearest, store, sync
-from sparkcorpus.session import table
+from sparkcorpus.operators.instants import CANDIDATES, normalise_instants
+from sparkcorpus.plans.problems import _ARTICLE_VALUES, _SITEMAP_VALUES, _instants_sql
+from sparkcorpus.session import shared_dir, table
 from sparkcorpus.sources import jsonl, sitemap
 from sparkcorpus.streaming.incremental import windowed_counts
 
@@ -20,6 +23,8 @@ ORACLES: dict[str, str] = {}
 #: White space as Unicode has it, for the SQL side.
 _WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _ARTICLES = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, row_id DESC) AS rn FROM articles) WHERE rn = 1)"
+#: The same with the instant of the delivered changed_at.
+_DATED = f"(SELECT x.*, i.utc_us AS changed_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, row_id DESC) AS rn FROM articles) x JOIN {_instants_sql(_ARTICLE_VALUES)} i ON i.row_key = x.row_id WHERE x.rn = 1)"
 _URL = "CASE WHEN coalesce(a.permalink, '') <> '' THEN e.url_base || a.permalink END"
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 
@@ -38,12 +43,17 @@ def query(sql: str | None = None):
     return register
 
 
+def _dated(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a delivered text as a timestamp, null where it denotes none; values without zone are local time of the sites."""
+    rows = normalise_instants(df, column, "__us", [], "", zone=CANDIDATES[0])
+    return rows.withColumn(column, F.timestamp_micros("__us")).drop("__us")
+
+
 def current_articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The row of each article that was delivered last, as upserts in that order leave it; its time is when it arrived."""
+    """The row of each article that was delivered last, as upserts in that order leave it; changed_at is the instant it was delivered with."""
     rows = table(spark, sf_dir, "articles")
-    keep = [c for c in (columns or rows.columns) if c not in ("id", "received_at", "row_id")]
-    rows = rows.select("id", "received_at", "row_id", *[c for c in keep if c != "changed_at"])
-    return store.last_of(rows, ["id"], ["received_at", "row_id"]).withColumn("changed_at", F.col("received_at"))
+    keep = [c for c in (columns or rows.columns) if c not in ("id", "received_at", "row_id", "changed_at")]
+    return _dated(store.last_of(rows.select("id", "received_at", "row_id", "changed_at", *keep), ["id"], ["received_at", "row_id"]), "changed_at")
 
 
 def _every_hundredth(df: DataFrame, key: str) -> DataFrame:
@@ -64,13 +74,13 @@ def articles_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "headword", url.alias("url"), F.lit(0.0).alias("rank"), F.lit(docs.count()).cast("long").alias("total"))
 
 
-@query(f"SELECT id, coalesce(epoch_us(received_at), 0) AS changed_us FROM {_ARTICLES} a")
+@query(f"SELECT id, coalesce(changed_us, 0) AS changed_us FROM {_DATED} a")
 def article_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each article's time, the epoch where it has none."""
     return current_articles(spark, sf_dir, "created_at").select("id", F.unix_micros(F.coalesce("changed_at", F.timestamp_seconds(F.lit(0)))).alias("changed_us"))
 
 
-@query(f"SELECT id, permalink, encyclopedia_id, epoch_us(received_at) AS changed_us FROM {_ARTICLES} a")
+@query(f"SELECT id, permalink, encyclopedia_id, changed_us FROM {_DATED} a")
 def article_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_articles(spark, sf_dir, "permalink", "encyclopedia_id").select("id", "permalink", "encyclopedia_id", F.unix_micros("changed_at").alias("changed_us"))
 
@@ -313,18 +323,29 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", "semantic_chunks", 250, 30)
 
 
-@query()
+def _cleaned_sql() -> str:
+    """Clean Markdown in SQL: a mark before each place where a heading may begin stands in for the look-ahead."""
+    out = f"regexp_replace(coalesce(text, ''), '(#{{1,6}}{_WS})', chr(1) || '\\1', 'g')"
+    for name in (f"Se{_WS}+også", "Relateret", f"Eksterne{_WS}+links?", f"External{_WS}+links?", f"Det{_WS}+sker"):
+        out = f"regexp_replace({out}, '(?i)\\x01#{{2,6}}{_WS}+{name}[^\\x01]*', '', 'g')"
+    return _strip(f"regexp_replace(replace({out}, chr(1), ''), '\\n\\n\\n+', chr(10) || chr(10), 'g')")
+
+
+@query(f"SELECT doc_id, {_cleaned_sql()} AS cleaned FROM documents")
 def cleaned_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.clean_markdown(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, coalesce(len({_SPLIT}), 0) AS words, coalesce(array_to_string({_SPLIT}, ' '), '') AS joined FROM documents")
 def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = tx.tokenize(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("words"), F.array_join(tokens, " ").alias("joined"))
+    words = tx.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("words"), F.array_join(words, " ").alias("joined"))
 
 
-@query()
+_REBUILT = f"""array_to_string(list_transform(w, lambda t, i: CASE WHEN i = 1 OR list_contains([',', '.', '!', '?', ';', ':', ')', ']', '}}', '"', chr(39)], t) OR list_contains(['(', '[', '{{', '"', chr(39)], right(w[i - 1], 1)) THEN '' ELSE ' ' END || t), '')"""
+
+
+@query(f"SELECT doc_id, coalesce({_REBUILT}, '') AS rebuilt FROM (SELECT doc_id, {_SPLIT} AS w FROM documents)")
 def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.reconstruct(tx.tokenize(F.col("text"))).alias("rebuilt"))
 
@@ -335,24 +356,37 @@ def prefixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.truncate_words(text, 20).alias("short"), tx.prefixed(text, F.lit("query"), "e5").alias("as_query"), tx.prefixed(text, F.lit("passage"), "jina").alias("as_passage"))
 
 
+@query("SELECT doc_id, coalesce(length(text), 0) // 4 AS tokens FROM documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as they are counted without an encoder."""
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.token_count(F.col("text")).alias("tokens"))
+
+
+@query()
+def chunk_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
+    """Windows of 256 tokens, 32 into each other, by the tokenizer file at ``tokenizer``."""
+    rows = table(spark, sf_dir, "documents")
+    return chunking.chunked(rows, "doc_id", "text", "tokens", 256, 32, tokens.tokenizer_file(tokenizer))
+
+
 # -- sync
 
-_ENTRIES = "(SELECT url, permalink, encyclopedia_id, received_at AS lastmod FROM sitemap_entries)"
+_ENTRIES = f"(SELECT s.url, s.permalink, s.encyclopedia_id, i.utc_us AS lastmod FROM sitemap_entries s JOIN {_instants_sql(_SITEMAP_VALUES)} i ON i.row_key = s.entry_id)"
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "sitemap_entries").select("url", "permalink", "encyclopedia_id", F.col("received_at").alias("lastmod"))
+    return _dated(table(spark, sf_dir, "sitemap_entries").select("url", "permalink", "encyclopedia_id", "lastmod"), "lastmod")
 
 
-@query(f"SELECT url, epoch_us(max(lastmod)) AS lastmod_us FROM {_ENTRIES} GROUP BY url")
+@query(f"SELECT url, max(lastmod) AS lastmod_us FROM {_ENTRIES} GROUP BY url")
 def sitemap_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.newest_entries(_entries(spark, sf_dir)).select("url", F.unix_micros("lastmod").alias("lastmod_us"))
 
 
 _PLAN = f"""SELECT coalesce(l.encyclopedia_id, a.encyclopedia_id) AS encyclopedia_id, coalesce(l.permalink, a.permalink) AS permalink, a.id,
-    CASE WHEN a.held IS NULL THEN 'new' WHEN l.listed IS NULL THEN 'deleted' WHEN a.changed_at IS NULL OR l.lastmod > a.changed_at THEN 'modified' ELSE 'unchanged' END AS status
+    CASE WHEN a.held IS NULL THEN 'new' WHEN l.listed IS NULL THEN 'deleted' WHEN a.changed_us IS NULL OR l.lastmod > a.changed_us THEN 'modified' ELSE 'unchanged' END AS status
     FROM (SELECT encyclopedia_id, permalink, max(lastmod) AS lastmod, true AS listed FROM {_ENTRIES} GROUP BY 1, 2) l
-    FULL OUTER JOIN (SELECT encyclopedia_id, permalink, id, received_at AS changed_at, true AS held FROM {_ARTICLES} x) a ON l.encyclopedia_id = a.encyclopedia_id AND l.permalink = a.permalink"""
+    FULL OUTER JOIN (SELECT encyclopedia_id, permalink, id, changed_us, true AS held FROM {_DATED} x) a ON l.encyclopedia_id = a.encyclopedia_id AND l.permalink = a.permalink"""
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,39 +409,44 @@ def sync_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.status_counts(sync.guarded(_plan(spark, sf_dir), complete=False))
 
 
-@query(f"""SELECT coalesce(a.id, i.id) AS id, CASE WHEN i.id IS NULL THEN 'create' WHEN a.id IS NULL THEN 'delete' WHEN a.received_at > i.u THEN 'update' ELSE 'skip' END AS action
-    FROM {_ARTICLES} a FULL OUTER JOIN (SELECT source_article_id AS id, min(last_updated) AS u FROM article_chunks GROUP BY 1) i ON a.id = i.id""")
+@query(f"""SELECT coalesce(a.id, i.id) AS id, CASE WHEN i.id IS NULL THEN 'create' WHEN a.id IS NULL THEN 'delete' WHEN a.changed_us > i.u THEN 'update' ELSE 'skip' END AS action
+    FROM {_DATED} a FULL OUTER JOIN (SELECT source_article_id AS id, epoch_us(min(last_updated)) AS u FROM article_chunks GROUP BY 1) i ON a.id = i.id""")
 def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.index_plan(current_articles(spark, sf_dir, "headword"), table(spark, sf_dir, "article_chunks"))
 
 
-@query(f"SELECT DISTINCT a.id, a.headword, a.permalink FROM {_ARTICLES} a LEFT JOIN article_chunks c ON a.id = c.source_article_id WHERE c.source_article_id IS NULL OR a.received_at > c.last_updated")
+@query(f"SELECT DISTINCT a.id, a.headword, a.permalink FROM {_DATED} a LEFT JOIN article_chunks c ON a.id = c.source_article_id WHERE c.source_article_id IS NULL OR a.changed_us > epoch_us(c.last_updated)")
 def incremental_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.due_for_dump(current_articles(spark, sf_dir, "headword", "permalink"), table(spark, sf_dir, "article_chunks")).select("id", "headword", "permalink")
 
 
-@query(f"SELECT id, headword, xhtml_md FROM {_ARTICLES} a")
+@query(f"SELECT id, headword, xhtml_md, permalink, encyclopedia_id, changed_us, epoch_us(created_at) AS created_us FROM {_DATED} a")
 def full_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles as JSON lines and read again."""
     lines = jsonl.article_lines(current_articles(spark, sf_dir, "headword", "xhtml_md", "permalink", "encyclopedia_id", "created_at"))
-    return jsonl.parsed_lines(lines, jsonl.ARTICLE, ["id"]).where("valid").select("id", "headword", "xhtml_md")
+    us = lambda c: F.unix_micros(F.expr(f"try_cast({c} as timestamp)"))
+    rows = jsonl.parsed_lines(lines, jsonl.ARTICLE, ["id"]).where("valid")
+    return rows.select("id", "headword", "xhtml_md", "permalink", "encyclopedia_id", us("changed_at").alias("changed_us"), us("created_at").alias("created_us"))
+
+
+def _not_blank(x: str) -> str:
+    return f"regexp_matches(coalesce({x}, ''), '[^{_WS[1:-1]}]')"
 
 
-@query("SELECT source_article_id, chunk_sequence_id, chunk_text FROM article_chunks WHERE len(embedding) = 64 AND regexp_matches(coalesce(chunk_text, ''), '[^\\s\\x0B\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')")
+@query(f"SELECT source_article_id, chunk_sequence_id, chunk_text, embedding FROM article_chunks WHERE len(embedding) = 64 AND {_not_blank('chunk_text')}")
 def embedding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks as JSON lines and read again, without those an import refuses."""
     rows = jsonl.parsed_lines(jsonl.chunk_lines(table(spark, sf_dir, "article_chunks")), jsonl.EMBEDDING, ["article_id", "chunk_idx"])
     rows = rows.where(F.col("valid") & ~tx.is_blank(F.col("chunk_text")) & vectors.right_size(F.col("embedding"), 64))
-    return rows.select(F.col("article_id").cast("long").alias("source_article_id"), F.col("chunk_idx").alias("chunk_sequence_id"), "chunk_text")
+    return rows.select(F.col("article_id").cast("long").alias("source_article_id"), F.col("chunk_idx").alias("chunk_sequence_id"), "chunk_text", "embedding")
 
 
-@query("SELECT encyclopedia_id, url, lastmod AS lastmod_text FROM (SELECT coalesce(encyclopedia_id, 0) AS encyclopedia_id, url, trim(lastmod, ' ') AS lastmod FROM sitemap_entries) WHERE lastmod <> '' AND NOT regexp_matches(lastmod, '[\\n&<>]')")
+@query(f"SELECT coalesce(encyclopedia_id, 0) AS encyclopedia_id, url, {_strip('lastmod')} AS lastmod_text FROM sitemap_entries WHERE {_strip('lastmod')} <> ''")
 def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site maps of at most about a thousand entries written as XML from the listed entries, and parsed again."""
-    rows = table(spark, sf_dir, "sitemap_entries").where("lastmod is not null and not lastmod rlike '[\\\\n&<>]'")
-    rows = rows.withColumn("encyclopedia_id", F.coalesce("encyclopedia_id", F.lit(0)))
-    escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    entry = F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc><lastmod>"), F.col("lastmod"), F.lit("</lastmod></url>"))
+    rows = table(spark, sf_dir, "sitemap_entries").where("lastmod is not null").withColumn("encyclopedia_id", F.coalesce("encyclopedia_id", F.lit(0)))
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    entry = F.concat(F.lit("<url><loc>"), escaped("url"), F.lit("</loc><lastmod>"), escaped("lastmod"), F.lit("</lastmod></url>"))
     docs = rows.groupBy("encyclopedia_id", F.floor(F.col("entry_id") / 1000).alias("part")).agg(F.array_join(F.collect_list(entry), "").alias("body"))
     xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.col("body"), F.lit("</urlset>"))
     return sitemap.parse_sitemaps(docs.select("encyclopedia_id", xml.alias("xml")), "xml").select("encyclopedia_id", "url", "lastmod_text")
@@ -416,28 +455,80 @@ def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- store
 
 
-@query("""SELECT id, headword FROM (SELECT id, headword, 2 AS prio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, row_id DESC) AS rn FROM articles WHERE received_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00') WHERE rn = 1
-    UNION ALL SELECT id, headword, 1 AS prio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, row_id DESC) AS rn FROM articles WHERE received_at < TIMESTAMPTZ '2024-01-01 00:00:00+00') WHERE rn = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio DESC) = 1""")
+_SINCE = "SELECT * FROM (SELECT *, {prio} AS prio, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, row_id DESC) AS rn FROM articles WHERE received_at {test} TIMESTAMPTZ '2024-01-01 00:00:00+00') WHERE rn = 1"
+
+
+@query(f"SELECT id, headword, xhtml_md, permalink, encyclopedia_id, row_id FROM ({_SINCE.format(prio=2, test='>=')} UNION ALL {_SINCE.format(prio=1, test='<')}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio DESC) = 1")
 def upsert_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What arrived since a day, upserted into what had arrived before."""
-    rows = table(spark, sf_dir, "articles").select("id", "headword", "received_at", "row_id")
+    columns = ["id", "headword", "xhtml_md", "permalink", "encyclopedia_id", "row_id"]
+    rows = table(spark, sf_dir, "articles").select(*columns, "received_at")
     cut = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
-    held = lambda df: store.last_of(df, ["id"], ["received_at", "row_id"]).select("id", "headword")
+    held = lambda df: store.last_of(df, ["id"], ["received_at", "row_id"]).select(*columns)
     return store.upserted(held(rows.where(F.col("received_at") < cut)), held(rows.where(F.col("received_at") >= cut)), ["id"])
 
 
-@query(f"SELECT c.id, c.source_article_id FROM article_chunks c WHERE c.source_article_id NOT IN (SELECT id FROM {_ARTICLES} a WHERE encyclopedia_id = 15)")
+def _store(spark: SparkSession, sf_dir: str, articles: bool = True, chunks: bool = True) -> store.Store:
+    """A store of the delivered articles and the index as it was left."""
+    out = store.Store(spark, shared_dir(spark, "store"), buckets=8)
+    if articles:
+        out.write("articles", store.ARTICLES, current_articles(spark, sf_dir, "headword", "xhtml", "xhtml_md", "permalink", "encyclopedia_id", "created_at").drop("received_at", "row_id"))
+    out.create_index("article_chunks", model="mock_model", size=700, overlap=70, strategy="characters")
+    if chunks:
+        out.write("article_chunks", store.CHUNKS, table(spark, sf_dir, "article_chunks").select("id", "embedding", "source_article_id", "chunk_sequence_id", "chunk_text", "last_updated"))
+    return out
+
+
+@query(f"SELECT c.id, c.source_article_id FROM article_chunks c WHERE c.source_article_id IS NULL OR c.source_article_id NOT IN (SELECT id FROM {_ARTICLES} a WHERE encyclopedia_id = 15)")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that are left when the articles of one encyclopedia are deleted."""
-    gone = current_articles(spark, sf_dir, "encyclopedia_id").where("encyclopedia_id = 15").select(F.col("id").alias("source_article_id"))
-    return table(spark, sf_dir, "article_chunks").select("id", "source_article_id").join(gone, "source_article_id", "left_anti").select("id", "source_article_id")
+    """Chunks that the store keeps when the articles of one encyclopedia are deleted."""
+    own = _store(spark, sf_dir)
+    own.delete_articles(own.articles().where("encyclopedia_id = 15").select("id"))
+    return own.index("article_chunks").select("id", "source_article_id")
 
 
-@query(f"SELECT count(*) FILTER (WHERE ok) AS created, count(*) FILTER (WHERE NOT ok) AS errors FROM (SELECT coalesce(regexp_matches(chunk_text, '[^\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]') AND len(embedding) = 64 AND source_article_id IS NOT NULL AND chunk_sequence_id IS NOT NULL, false) AS ok FROM article_chunks)")
+@query(f"""SELECT count(*) FILTER (WHERE ok) AS created, count(*) FILTER (WHERE NOT ok) AS errors, count(DISTINCT (source_article_id, chunk_sequence_id)) FILTER (WHERE ok) AS stored
+    FROM (SELECT *, coalesce({_not_blank('chunk_text')} AND len(embedding) = 64 AND source_article_id IS NOT NULL AND chunk_sequence_id IS NOT NULL, false) AS ok FROM article_chunks)""")
 def precomputed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an import of the stored chunks would create and refuse."""
-    good = ~tx.is_blank(F.col("chunk_text")) & vectors.right_size(F.col("embedding"), 64) & F.col("source_article_id").isNotNull() & F.col("chunk_sequence_id").isNotNull()
-    return table(spark, sf_dir, "article_chunks").agg(F.sum(F.when(good, 1).otherwise(0)).alias("created"), F.sum(F.when(good, 0).otherwise(1)).alias("errors"))
+    """What adding the stored chunks to an empty index creates, refuses and leaves; vectors of the right size stand for ones of the mock model's."""
+    own = _store(spark, sf_dir, articles=False, chunks=False)
+    short = F.when(vectors.right_size(F.col("embedding"), 64), F.slice("embedding", 1, 4))
+    done = own.add_chunks("article_chunks", table(spark, sf_dir, "article_chunks").select("source_article_id", "chunk_sequence_id", "chunk_text", short.alias("embedding")))
+    return own.index("article_chunks").agg(F.lit(done["created"]).cast("long").alias("created"), F.lit(done["errors"]).cast("long").alias("errors"), F.count("*").alias("stored"))
+
+
+@query(f"""WITH d AS (SELECT a.id, a.xhtml_md, '# ' || coalesce(a.headword, '') || chr(10) || a.xhtml_md AS body, i.u IS NULL OR a.changed_us > i.u AS due FROM {_DATED} a
+        LEFT JOIN (SELECT source_article_id AS id, epoch_us(min(last_updated)) AS u FROM article_chunks GROUP BY 1) i ON i.id = a.id),
+    p AS (SELECT id, unnest(list_transform(generate_series(0, greatest(0, ceil((length(body) - 700) / 630.0)::BIGINT)), lambda k: substring(body, (k * 630 + 1)::BIGINT, 700))) AS piece FROM d WHERE due AND {_not_blank('xhtml_md')})
+    SELECT id AS source_article_id, count(*) AS chunks FROM p WHERE {_not_blank('piece')} GROUP BY 1
+    UNION ALL SELECT c.source_article_id, count(*) AS chunks FROM article_chunks c JOIN d ON d.id = c.source_article_id WHERE NOT coalesce(d.due, false) GROUP BY 1""")
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each article after the index was brought up to date with the articles."""
+    own = _store(spark, sf_dir)
+    own.refresh_index("article_chunks")
+    return own.index("article_chunks").groupBy("source_article_id").agg(F.count("*").alias("chunks"))
+
+
+# -- the engine's surface
+
+_ASKED = "(SELECT row_number() OVER (ORDER BY doc_id) AS query, headword FROM documents WHERE doc_id % 100 = 0)"
+
+
+@query(f"""SELECT r.query, r.rank, r.id AS id_in_index, c.chunk_sequence_id AS chunk_seq, nullif(a.headword, '') AS title, {_URL} AS url
+    FROM ({_fts_sql('article_chunks', 'id', 'chunk_text', 10).replace(_QUERIES, _ASKED)}) r JOIN article_chunks c ON c.id = r.id LEFT JOIN {_ARTICLES} a ON a.id = c.source_article_id LEFT JOIN encyclopedias e ON e.encyclopedia_id = a.encyclopedia_id""")
+def engine_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated headwords as queries against the chunks of a store's index."""
+    asked = [r[0] for r in _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").orderBy("doc_id").select("headword").collect()]
+    own = Engine(spark, _store(spark, sf_dir), table(spark, sf_dir, "encyclopedias"), "simple")
+    return own.text_search_batch("article_chunks", asked, 10).select("query", "rank", "id_in_index", "chunk_seq", "title", "url")
+
+
+@query(f"SELECT id, rank, url, title, total FROM (SELECT a.id, 0.0::DOUBLE AS rank, {_URL} AS url, nullif(a.headword, '') AS title, count(*) OVER () AS total FROM {_ARTICLES} a LEFT JOIN encyclopedias e USING (encyclopedia_id) WHERE a.id % 100 = 0) ORDER BY id LIMIT 100")
+def engine_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a store by the stated ids, at most a hundred of them, with their number."""
+    own = _store(spark, sf_dir)
+    ids = [r[0] for r in _every_hundredth(own.articles().select("id"), "id").collect()]
+    return Engine(spark, own, table(spark, sf_dir, "encyclopedias")).articles(ids=ids, limit=100).select("id", "rank", "url", "title", "total")
 
 
 # -- documents as Markdown
@@ -457,13 +548,16 @@ def article_json_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.article_markdown(a.select("row_id", F.to_json(doc).alias("json")), "json").select("row_id", "valid", "xhtml_md")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'entity' WHEN doc_id % 3 = 1 THEN 'conceptual' ELSE 'unclear' END AS query_type, trim(coalesce(headword, '') || ' second line') AS passage FROM documents WHERE NOT regexp_matches(coalesce(headword, 'x'), '\\s|^$')""")
+_BARE = _strip("{0}").replace(_WS, _WS[:-1] + r"\x1C-\x1F]")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'entity' WHEN doc_id % 3 = 1 THEN 'conceptual' ELSE 'unclear' END AS query_type,
+    {_BARE.replace('{0}', "array_to_string(list_concat([" + _BARE.replace('{0}', 'h[1]') + "], h[2:], ['second line']), ' ')")} AS passage FROM (SELECT doc_id, string_split(coalesce(headword, ''), chr(10)) AS h FROM documents)""")
 def hyde_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated answers parsed; the answers are written from headwords."""
-    rows = table(spark, sf_dir, "documents").where("not coalesce(headword, 'x') rlike '\\\\s|^$'")
     kind = F.when(F.col("doc_id") % 3 == 0, "ENTITY").when(F.col("doc_id") % 3 == 1, "[conceptual]").otherwise("MIXED")
     answer = F.concat(F.lit("QUERYTYPE: "), kind, F.lit("\nPASSAGE:  "), F.coalesce("headword", F.lit("")), F.lit("\nsecond line"))
-    return rows.select("doc_id", tx.parse_answer(answer).alias("a")).select("doc_id", "a.*")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.parse_answer(answer).alias("a")).select("doc_id", "a.*")
 
 
 @query()
@@ -473,6 +567,30 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.request_batches(rows, "doc_id", "n").groupBy("batch").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
 
 
+@query(f"SELECT sum(least(len(w), 8000))::BIGINT AS tokens, count(*) AS texts, 0::BIGINT AS too_large FROM (SELECT coalesce({_SPLIT}, []) AS w FROM documents)")
+def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the requests whatever the partitions: all words and texts are in one, and none is over the limit."""
+    sizes = request_batches(spark, sf_dir)
+    return sizes.agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts"), F.coalesce(F.sum(F.when(F.col("tokens") > 8_000, 1).otherwise(0)), F.lit(0)).cast("long").alias("too_large"))
+
+
+class _Counts:
+    """A provider that SQL can follow: a text's length, and how many of three letters it has."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), *(float(t.count(c)) for c in "aen")] for t in texts]
+
+
+def _counting(model: str) -> _Counts:
+    return _Counts()
+
+
+@query(f"SELECT doc_id, [length(text)::FLOAT, (length(text) - length(replace(text, 'a', '')))::FLOAT, (length(text) - length(replace(text, 'e', '')))::FLOAT, (length(text) - length(replace(text, 'n', '')))::FLOAT] AS embedding FROM documents WHERE {_not_blank('text')}")
+def embed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-blank document embedded by an injected provider, each text with its own vector."""
+    return embedding.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "mock_model", make=_counting).select("doc_id", "embedding")
+
+
 @query("SELECT event_type, epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) AS n FROM events GROUP BY ALL")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type: the batch form of the streaming aggregation."""

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcorpus.functions.timestamps import strip
+
 URLSET = "url array<struct<loc: string, lastmod: string>>"
 
 
@@ -26,7 +28,7 @@ def parse_sitemaps(documents: DataFrame, xml_col: str) -> DataFrame:
     checked = F.when(xml.rlike(r"(?s)<(?:\w+:)?urlset[\s>/]") & xml.rlike(r"(?s)(?:</(?:\w+:)?urlset\s*>|<urlset[^>]*/>)\s*\z"), xml).otherwise(F.raise_error(F.lit("malformed site map")))
     rest = [c for c in documents.columns if c not in (xml_col, "url", "lastmod", "lastmod_text")]
     rows = documents.where(xml.isNotNull()).select(*rest, F.explode(F.from_xml(checked, URLSET)["url"]).alias("e"))
-    rows = rows.select(*rest, F.trim("e.loc").alias("url"), F.trim("e.lastmod").alias("lastmod_text")).where("url <> '' and lastmod_text <> ''")
+    rows = rows.select(*rest, strip(F.col("e.loc")).alias("url"), strip(F.col("e.lastmod")).alias("lastmod_text")).where("url <> '' and lastmod_text <> ''")
     return rows.withColumn("lastmod", F.expr("try_cast(lastmod_text as timestamp)"))
 
 
