@@ -75,7 +75,7 @@ def sync_articles(engine: Engine, sitemaps: dict[int, str], fetch, ids: str | No
 
 def main(argv: list[str] | None = None, fetch=None) -> dict | None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("command", choices=["create-index", "update-indexes", "dump", "generate", "import", "export-sqlite", "sync", "benchmark"])
+    parser.add_argument("command", choices=["create-index", "update-indexes", "dump", "generate", "import", "export-sqlite", "sync", "benchmark", "build-cells"])
     parser.add_argument("--root", default="store")
     parser.add_argument("--index", default=None, help="an index; for sync a comma list of those to refresh")
     parser.add_argument("--input")
@@ -121,6 +121,8 @@ def main(argv: list[str] | None = None, fetch=None) -> dict | None:
         engine = Engine(spark, store, sites, make_provider=make)
         result = sync_articles(engine, sitemap_addresses(sites, a.sitemap), fetch or Fetcher(), a.encyclopedia_ids, a.dry_run, a.skip_vector_update, a.skip_scraping, a.index)
         print(sync_summary(result, a.dry_run))
+    elif a.command == "build-cells":
+        result = store.build_cells(a.index)
     elif a.command == "benchmark":
         result = benchmark(a.model, a.texts, a.text_length, make)
     else:

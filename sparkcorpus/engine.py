@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcorpus.functions.text import parse_answer
-from sparkcorpus.operators import fulltext, fusion, nearest, providers
+from sparkcorpus.operators import cells, fulltext, fusion, nearest, providers
 from sparkcorpus.operators.embedding import dimensions, embedded
 from sparkcorpus.operators.markdown import article_markdown
 from sparkcorpus.operators.store import Store
@@ -90,14 +90,22 @@ class Engine:
         url = F.when(F.coalesce("permalink", F.lit("")) != "", F.concat("url_base", "permalink"))
         return out.withColumns({"url": url, "title": F.nullif("headword", F.lit(""))}).drop("__article", "permalink", "headword", "url_base", "encyclopedia_id")
 
-    def vector_search_batch(self, name: str, queries: list[tuple[str, str]], top_k: int = 5) -> DataFrame:
-        """query, rank, id_in_index, source_article_id, chunk_seq, chunk_text, distance, url, title, changed_at; a blank query is an error."""
+    def vector_search_batch(self, name: str, queries: list[tuple[str, str]], top_k: int = 5, probes: int | None = cells.PROBES) -> DataFrame:
+        """query, rank, id_in_index, source_article_id, chunk_seq, chunk_text, distance, url, title, changed_at; a blank query is an error.
+
+        Reads ``probes`` cells a query where the index has cells (see ``Store.build_cells``), the whole index where it
+        has none or ``probes`` is None.
+        """
         row = self.index(name)
         if any(not q.strip() for q, _ in queries):
             raise ValueError("a query is blank")
         asked = embedded(self._queries([q for q, _ in queries]), "text", row["embedding_model"], "vector", self.make)
         chunks = self.store.index(name)
-        found = nearest.nearest(chunks, "id", "embedding", asked, "query", "vector", dimensions(row["embedding_model"]), top_k)
+        dims, folder = dimensions(row["embedding_model"]), self.store.cells(name) if probes else None
+        if folder:
+            found = cells.search(self.spark, folder, asked, "query", "vector", dims, top_k, probes)
+        else:
+            found = nearest.nearest(chunks, "id", "embedding", asked, "query", "vector", dims, top_k)
         return self._hits(found.withColumnRenamed("distance", "score"), chunks).withColumnRenamed("score", "distance")
 
     def vector_search(self, name: str, query: str, top_k: int = 5) -> DataFrame:

@@ -31,6 +31,8 @@ class _File:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        # the strings of special tokens are ordinary text in a text
+        self.inner.encode_special_tokens = True
 
     def encode(self, text: str) -> list[int]:
         return self.inner.encode(text, add_special_tokens=False).ids

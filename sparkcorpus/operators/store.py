@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkcorpus.functions.text import is_blank
 from sparkcorpus.functions.urls import host, permalink
 from sparkcorpus.functions.vectors import right_size
+from sparkcorpus.operators import cells
 from sparkcorpus.operators.chunking import chunked
 from sparkcorpus.operators.commits import CommitLog
 from sparkcorpus.operators.embedding import dimensions, embedded
@@ -182,6 +183,22 @@ class Store:
         changed = {k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()}
         self.write("_catalogue", CATALOGUE, self.indexes().withColumns(changed | {"updated_at": F.when(mine, F.current_timestamp()).otherwise(F.col("updated_at"))}))
 
+    def build_cells(self, name: str) -> int:
+        """Make the approximate search of an index's present version; the number of cells. A later version needs a new one."""
+        at, dims = self.version(name), dimensions(self.index_row(name)["embedding_model"])
+        log = CommitLog(self.spark, f"{self.root}/_cells/{name}")
+        folder = f"v{at:06d}_{uuid.uuid4().hex[:8]}"
+        made = cells.build(self.index(name), "id", "embedding", dims, f"{log.root}/{folder}")
+        if log.publish(log.version(), {"of": at, "folder": folder}) is None:
+            raise RuntimeError(f"the cells of {name} were made by another writer")
+        return made
+
+    def cells(self, name: str) -> str | None:
+        """The folder of the cells of an index's present version, None where there are none."""
+        log = CommitLog(self.spark, f"{self.root}/_cells/{name}")
+        _, last = log.last()
+        return f"{log.root}/{last['folder']}" if last and last["of"] == self.version(name) else None
+
     def add_chunks(self, name: str, chunks: DataFrame) -> dict[str, int]:
         """Upsert chunks with vectors on (article, sequence): {created, errors}.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkcorpus.engine import Engine
 from sparkcorpus.functions import text as tx
 from sparkcorpus.functions import tokens, urls, vectors
-from sparkcorpus.operators import chunking, embedding, fulltext, fusion, markdown, nearest, store, sync
+from sparkcorpus.operators import cells, chunking, embedding, fulltext, fusion, markdown, nearest, store, sync
 from sparkcorpus.operators.instants import CANDIDATES, normalise_instants
 from sparkcorpus.plans.problems import _ARTICLE_VALUES, _SITEMAP_VALUES, _instants_sql
 from sparkcorpus.session import shared_dir, table
@@ -206,6 +206,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 5)
 
 
+@query(_NEAR.format(k=5))
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from cells, all of which are probed, so that nothing is left out."""
+    index, path = table(spark, sf_dir, "embeddings"), shared_dir(spark, "cells")
+    made = cells.build(index, "vec_id", "embedding", 64, path)
+    return cells.search(spark, path, _every_hundredth(index, "vec_id"), "vec_id", "embedding", 64, 5, made)
+
+
 @query(f"""WITH n AS ({_NEAR.format(k=5)}) SELECT n.query, n.rank, n.id, n.distance, nullif(d.headword, '') AS title FROM n LEFT JOIN documents d ON d.doc_id = n.id""")
 def vector_topk_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors with the title of the document they stand for; titles are joined after the limit."""

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from sparkcorpus.operators import fulltext, fusion, nearest
+from sparkcorpus.engine import Engine
+from sparkcorpus.operators import cells, fulltext, fusion, nearest
+from sparkcorpus.operators.store import CHUNKS, Store
 
 
 def test_fulltext_against_brute_force(spark):
@@ -37,6 +39,56 @@ def test_nearest(spark):
     assert nearest.nearest(index, "id", "v", index.where("id > 100"), "id", "v", 8, 5).count() == 0
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(60, 8))
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = key(nearest.nearest(index, "id", "v", index, "id", "v", 8, 3))
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 8 * 8 * 20)
+    assert key(nearest.nearest(index, "id", "v", index, "id", "v", 8, 3)) == whole and len(whole) == 180
+
+
+def test_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(10, 8))
+    x = centres[rng.integers(0, 10, 600)] + rng.normal(size=(600, 8)) * 0.3
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(900, None, ""), (901, [0.0] * 8, ""), (902, [1.0] * 7, ""), (903, [1.0, None] * 4, "")]
+    df = spark.createDataFrame(rows, "id long, v array<float>, cell string")
+    path = str(tmp_path / "cells")
+    made = cells.build(df, "id", "v", 8, path)
+    asked = df.where("id % 100 = 0 or id > 899")
+    exact = {(r["query"], r["id"], r["distance"], r["rank"]) for r in nearest.nearest(df, "id", "v", asked, "id", "v", 8, 5).collect()}
+    get = lambda n: {(r["query"], r["id"], r["distance"], r["rank"]) for r in cells.search(spark, path, asked, "id", "v", 8, 5, n).collect()}
+    assert made == 12 and get(made) == exact and len(get(4) & exact) > 0.9 * len(exact)
+    empty = str(tmp_path / "empty")
+    assert cells.build(df.where("false"), "id", "v", 8, empty) == 1 and cells.search(spark, empty, asked, "id", "v", 8).count() == 0
+
+
+def test_an_index_searches_its_cells_until_it_changes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.create_index("idx")
+    v = [[1.0, 0.0, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+    chunk = lambda rows: spark.createDataFrame(rows, "source_article_id long, chunk_sequence_id int, chunk_text string, embedding array<float>")
+    store.add_chunks("idx", chunk([(i, 0, f"t{i}", x) for i, x in enumerate(v)]))
+    engine = Engine(spark, store, spark.createDataFrame([], "encyclopedia_id int, host string, url_base string"), make_provider=_Fixed)
+    hits = lambda **k: [(r["source_article_id"], r["distance"]) for r in engine.vector_search_batch("idx", [("q", "query")], 2, **k).collect()]
+    exact = hits()
+    assert store.cells("idx") is None and store.build_cells("idx") == 1 and store.cells("idx")
+    assert hits() == exact == hits(probes=None) and exact[0] == (0, 0.0) and engine.tables() == ["idx"]
+    store.add_chunks("idx", chunk([(7, 0, "new", [1.0, 0.0, 0.0, 0.0])]))
+    assert store.cells("idx") is None and {h[0] for h in hits()} == {0, 7}
+    assert store.index("idx").columns == [c.split(" ")[0] for c in CHUNKS.split(", ")]
+
+
+class _Fixed:
+    def __init__(self, model):
+        pass
+
+    def embed(self, texts):
+        return [[1.0, 0.0, 0.0, 0.0] for _ in texts]
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame([(1, i, r) for r, i in enumerate(ids, 1)], "query long, id long, rank int") for ids in ([5, 6, 7], [7, 5])]
     got = [(r["id"], r["score"]) for r in fusion.fuse(lists, 10).orderBy("rank").collect()]
