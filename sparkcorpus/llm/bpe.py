@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
+from functools import partial
 
 import regex
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 DEFAULT_DIR = "/opt/tokenizers"
 #: Fixed value: how the public tokenizer splits a text before merging.
@@ -102,8 +106,8 @@ class MergeAutomaton:
 class Tokenizer:
     """Splits a text into words and encodes each; special tokens' strings are ordinary text."""
 
-    def __init__(self, name: str = "byte_bpe_50k", folder: str = DEFAULT_DIR):
-        with open(os.path.join(folder, f"{name}.json"), encoding="utf-8") as f:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
@@ -133,11 +137,28 @@ class Tokenizer:
         return self.automaton.decode(ids).decode("utf-8", "replace")
 
 
-_loaded: dict[tuple[str, str], Tokenizer] = {}
+_loaded: dict[str, Tokenizer] = {}
 
 
 def tokenizer(name: str = "byte_bpe_50k", folder: str = DEFAULT_DIR) -> Tokenizer:
-    """The worker's compiled tokenizer, made once for each process."""
-    if (name, folder) not in _loaded:
-        _loaded[name, folder] = Tokenizer(name, folder)
-    return _loaded[name, folder]
+    """The process's compiled tokenizer of a vocabulary file, made once."""
+    path = os.path.join(folder, f"{name}.json")
+    if path not in _loaded:
+        _loaded[path] = Tokenizer(path)
+    return _loaded[path]
+
+
+def shipped(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = DEFAULT_DIR) -> Callable[[], Tokenizer]:
+    """The tokenizer for use in tasks: only the driver reads ``folder``, and Spark brings the file to each executor once."""
+    path = os.path.join(folder, f"{name}.json")
+    if path not in _sent.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(path)
+        _sent[spark.sparkContext.applicationId].add(path)
+    return partial(_in_task, name)
+
+
+_sent: dict[str, set[str]] = {}
+
+
+def _in_task(name: str) -> Tokenizer:
+    return tokenizer(name, SparkFiles.getRootDirectory())

@@ -244,8 +244,10 @@ def token_ids(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", fo
     """``key`` and ``ids`` (or ``n_tokens``) of every row; empty and null texts give an empty list (0)."""
     schema = _fields((key, df.schema[key].dataType), ("n_tokens", T.LongType()) if counts_only else ("ids", T.ArrayType(T.IntegerType())))
 
+    make = bpe.shipped(df.sparkSession, name, folder)
+
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        encode = bpe.tokenizer(name, folder).encode
+        encode = make().encode
         ids = (encode(t) for t in batch.column(text).to_pylist())
         return {key: batch.column(key)} | ({"n_tokens": [len(x) for x in ids]} if counts_only else {"ids": list(ids)})
 
