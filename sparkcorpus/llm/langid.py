@@ -123,14 +123,20 @@ def _latin_leads(text: str) -> bool:
     return 2 * latin > _letters(text)
 
 
-_NAME = re.compile(r"(?<=\S[ \n])[^\W\d_a-zæøåäöüéèñß]{1}[^\W\d_]{3,}")
+_NAME = re.compile(r"[ \n][^\W\d_a-zæøåäöüéèñßа-я][^\W\d_]{3,}")
 _DIGITS = re.compile(r"\d+")
 _ODD = re.compile(r"[^\w\s.,]|\d")
 
 
+def _name(m: re.Match) -> str:
+    """X for a capitalised word inside the sentence."""
+    word, at = m.group(), m.start()
+    return f"{word[0]}X" if at and word[1].isupper() and not m.string[at - 1].isspace() else word
+
+
 def _masked(text: str) -> str:
     """Without what tells nothing about the language: numbers, and capitalised words inside the sentence (mostly names)."""
-    return _DIGITS.sub("0", _NAME.sub(lambda m: "X" if m.group()[0].isupper() else m.group(), text))
+    return _DIGITS.sub("0", _NAME.sub(_name, text))
 
 
 class CompressionClassifier:
@@ -156,10 +162,12 @@ class CompressionClassifier:
                 self._ready[code] = zstandard.ZstdCompressor(dict_data=words, compression_params=parameters)
                 self.scripts[code] = _script(_SEEDS.get(code, content.decode("utf-8", "ignore")[:2000]))
             self.by_script: dict[tuple[frozenset, bool], list[str]] = {}
-            self.vocabulary: dict[str, list[str]] = {}
+            # a word's languages as a number with a digit for each, so that the numbers of a text's words add up
+            self.vocabulary: dict[str, int] = {}
+            self.digit = {code: 16 * k for k, code in enumerate(self.dictionaries)}
             for code, content in self.dictionaries.items():
                 for word in set(_RUNS.findall(content.decode("utf-8", "ignore"))):
-                    self.vocabulary.setdefault(word, []).append(code)
+                    self.vocabulary[word] = self.vocabulary.get(word, 0) + (1 << self.digit[code])
         return self._ready
 
     def candidates(self, text: str) -> list[str]:
@@ -189,13 +197,11 @@ class CompressionClassifier:
         """
         ready, raw, able = self._load(), masked.encode("utf-8", "replace"), self.candidates(masked)
         if len(able) > 2:
-            held = dict.fromkeys(able, 0)
-            for word in _RUNS.findall(masked):
-                for code in self.vocabulary.get(word, ()):
-                    if code in held:
-                        held[code] += 1
-            enough = sorted(held.values())[-2] / 2
-            able = [c for c in able if held[c] >= enough]
+            known = self.vocabulary.get
+            total = sum([known(word, 0) for word in _RUNS.findall(masked)[:65_000]])
+            held = [total >> self.digit[c] & 0xFFFF for c in able]
+            enough = sorted(held)[-2] / 2
+            able = [c for c, n in zip(able, held) if n >= enough]
         return {c: len(ready[c].compress(raw)) for c in able}
 
     def classify(self, text: str) -> tuple[str, float, bool]:

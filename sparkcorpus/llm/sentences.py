@@ -43,7 +43,7 @@ _LEX = regex.compile(
 )
 _IDEOGRAPHS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 # Verbs of speech with which a Chinese reporting clause ends, and what ends a sentence.
-_SAID = regex.compile(r"[说說道喊问問答叫写寫](?:\n?道)?[。，！？]")
+_SAID = regex.compile(r"(?=[说說道喊问問答叫写寫](?:\n?道)?[。，！？])")
 _STOP = regex.compile(r"[。！？]")
 _WORD_CLASSES = ("LOW", "PART", "ORDP", "UP", "MONTH", "INIT", "ABN", "ABNU", "ABM", "CL", "CLA")
 CLASSES = ("BLANK", "HEAD", "FQ", "SPC", "NL", "ELL", "FULL", "DANDA", "BANG", "DOT", "LDQ", "QUOTE", "OPEN", "CONT", "DASH", "NUM2", "NUM4", "QT", "CJR", "CJ", "TH", "HI", "OTHER", *_WORD_CLASSES)
