@@ -19,9 +19,13 @@ def latest_version(df: DataFrame, keys: list[str], instant: str, values: list[st
     Aggregated map-side first, so a key with any number of rows is one row before the shuffle. Equal instants
     are decided by the values themselves (the greatest, nulls least), so the result doesn't depend on row order.
     """
+    rest = [v for v in dict.fromkeys(values) if v != instant]
+    if not rest:
+        # a plain maximum is aggregated by hash, a struct only by sorting
+        return df.groupBy(*keys).agg(F.max(instant).alias(instant))
     held = fresh("held")
-    best = df.groupBy(*keys).agg(F.max(F.struct(instant, *[v for v in values if v != instant])).alias(held))
-    return best.select(*keys, *[F.col(held)[v].alias(v) for v in dict.fromkeys([instant, *values])])
+    best = df.groupBy(*keys).agg(F.max(F.struct(instant, *rest)).alias(held))
+    return best.select(*keys, *[F.col(held)[v].alias(v) for v in [instant, *rest]])
 
 
 def changes_between(df: DataFrame, keys: list[str], snapshot: str, values: list[str], deliveries: DataFrame | None = None) -> DataFrame:
