@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcorpus.functions.urls import host
 from sparkcorpus.operators.instants import normalise_instants
-from sparkcorpus.operators.intervals import HIGHEST, LOWEST, IntervalLedger, merge_intervals, subtract_intervals
+from sparkcorpus.operators.intervals import HIGHEST, LOWEST, IntervalLedger, subtract_intervals
 from sparkcorpus.operators.snapshots import changes_between, latest_version
 from sparkcorpus.session import shared_dir, table
 
@@ -43,9 +43,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """article_id, reason of the articles due in the next run of the index.
 
     An article's sequence number is the instant of the version that holds; no instant is the lowest number, which any
-    chunk covers. What a chunk leaves undone of its article are all numbers behind its own; these ranges, merged over the
-    article's chunks, are taken from all numbers, and what is left has been processed by every chunk, however many runs
-    did the article in part. A gap of the available number is an article that is due. Chunks of one day are reduced to the
+    chunk covers. What a chunk leaves undone of its article are all numbers behind its own; these ranges, merged by the
+    sweep over an article's chunks, are taken from all numbers, and what is left has been processed by every chunk,
+    however many runs did the article in part. A gap of the available number is an article that is due. Chunks of one day are reduced to the
     oldest before anything is shuffled, so that an article with very many of them is a few rows.
     """
     rows = table(spark, sf_dir, "articles").select("id", "row_id", "changed_at", "received_at", "encyclopedia_id", F.coalesce(F.col("xhtml_md").rlike(r"(?U)\S"), F.lit(False)).alias("has_text"))
@@ -55,7 +55,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     available = rows.select(F.col("id").alias("article_id"), at.alias("lo"), at.alias("hi"))
     done = F.coalesce(F.unix_micros("last_updated"), F.lit(LOWEST))
     chunks = table(spark, sf_dir, "article_chunks").groupBy(F.col("source_article_id").alias("article_id"), F.floor(done / _DAY_US).alias("day")).agg(F.min(done).alias("done"))
-    undone = merge_intervals(chunks.select("article_id", (F.col("done") + 1).alias("lo"), F.lit(HIGHEST).alias("hi")), ["article_id"])
+    undone = chunks.select("article_id", (F.col("done") + 1).alias("lo"), F.lit(HIGHEST).alias("hi"))
     every = chunks.select("article_id", F.lit(LOWEST).alias("lo"), F.lit(HIGHEST).alias("hi"))
     processed = subtract_intervals(every, undone, ["article_id"])
     gaps = subtract_intervals(available, processed, ["article_id"])
