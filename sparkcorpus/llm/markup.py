@@ -666,9 +666,12 @@ def _is_list(block: str) -> bool:
     return all(_ITEM.match(line) for line in block.split("\n") if line.strip())
 
 
+_UNLISTED = re.compile("[\u0600-\u06ff\u0900-\u0e7f\u3040-\u9fff]")
+
+
 def _unlisted(plain: str) -> bool:
     """Whether there are letters of a script in which no stop words are listed."""
-    return any("\u0900" <= c <= "\u0e7f" or "\u3040" <= c <= "\u9fff" or "\u0600" <= c <= "\u06ff" for c in plain)
+    return bool(_UNLISTED.search(plain))
 
 
 def _reads(value: str) -> bool:
@@ -692,7 +695,7 @@ def _first_label(block: str, boxed: bool) -> str:
         return "residue"
     if len(plain) < SHORT:
         return "short"
-    if _unlisted(plain[:200]):
+    if _unlisted(plain):
         return "text"
     share = sum(w.lower() in _STOP for w in words) / len(words)
     if share >= STOP_HIGH:
