@@ -12,7 +12,7 @@ STOP_WORDS = frozenset(
     "og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde ham hun nu over da fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind når være dog noget ville jo deres efter ned skulle denne end dette mit også under have dig anden hende mine alt meget sit sine vor mod disse hvis din nogle hos blive mange ad bliver hendes været thi jer sådan".split()
 )
 # Suffixes of the published Danish stemming algorithm.
-_MAIN = "erendes erende hedens erede ethed heden endes erets heder ernes erens eren ered ende erne eres eret erer enes heds ene ere hed ens ers ets en er es et e".split()
+MAIN_SUFFIXES = "erendes erende hedens erede ethed heden endes erets heder ernes erens eren ered ende erne eres eret erer enes heds ene ere hed ens ers ets en er es et e".split()
 _VOWELS = frozenset("aeiouyæøå")
 _S_ENDINGS = frozenset("abcdfghjklmnoprtvyzå")
 
@@ -29,7 +29,7 @@ def stem_danish(word: str) -> str:
     """Stem of a lower-case word by the published Danish algorithm."""
     start = _region(word)
     tail = lambda w: w[start:]
-    for suffix in _MAIN:
+    for suffix in MAIN_SUFFIXES:
         if tail(word).endswith(suffix):
             word = word[: -len(suffix)]
             break

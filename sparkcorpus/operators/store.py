@@ -113,6 +113,17 @@ class Store:
             raise RuntimeError(f"{name} was changed by another writer")
         return base + 1
 
+    def vacuum(self, name: str, keep: int = 2) -> int:
+        """Delete what none of a table's last ``keep`` versions uses, but not what another writer is making; the folders deleted."""
+        log = self._log(name)
+        at = log.version()
+        used = {f.split("/")[0] for v in range(max(1, at - keep + 1), at + 1) for f in log.payload(v)["files"].values()}
+        made = [s.getPath() for s in self.fs.listStatus(log.path("")) if s.isDirectory()]
+        old = [p for p in made if p.getName().startswith("v") and p.getName() not in used and int(p.getName()[1:7]) <= at]
+        for path in old:
+            self.fs.delete(path, True)
+        return len(old)
+
     # -- articles
 
     def articles(self) -> DataFrame:

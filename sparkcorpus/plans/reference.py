@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcorpus.engine import Engine
 from sparkcorpus.functions import text as tx
-from sparkcorpus.functions import tokens, urls, vectors
-from sparkcorpus.operators import cells, chunking, embedding, fulltext, fusion, markdown, nearest, store, sync
+from sparkcorpus.functions import analysis, tokens, urls, vectors
+from sparkcorpus.operators import cells, chunking, embedding, fulltext, fusion, markdown, nearest, providers, store, sync
 from sparkcorpus.operators.instants import CANDIDATES, normalise_instants
 from sparkcorpus.plans.problems import _ARTICLE_VALUES, _SITEMAP_VALUES, _instants_sql
 from sparkcorpus.session import shared_dir, table
@@ -183,7 +185,31 @@ def lexeme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("lexeme").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
-@query()
+def _danish_sql() -> str:
+    """Stems of all words by the published algorithm, step by step; ``s`` is where the part that may be cut begins."""
+    tail = "substring(w, s + 1)"
+    ends = lambda pattern: f"regexp_matches({tail}, '({pattern})$')"
+    cut = lambda pattern: f"left(w, length(w) - length(regexp_extract({tail}, '({pattern})$', 1)))"
+    doubled = f"CASE WHEN {ends('gd|dt|gt|kt')} THEN left(w, length(w) - 1) ELSE w END"
+    main = "|".join(analysis.MAIN_SUFFIXES)
+    steps = (
+        f"CASE WHEN {ends(main)} THEN {cut(main)} WHEN {ends('s')} AND length(w) > 1 AND contains('abcdfghjklmnoprtvyzå', right(left(w, length(w) - 1), 1)) THEN left(w, length(w) - 1) ELSE w END",
+        doubled,
+        "CASE WHEN w LIKE '%igst' THEN left(w, length(w) - 2) ELSE w END",
+        f"CASE WHEN length({tail}) >= 2 AND right(w, 1) = right(left(w, length(w) - 1), 1) AND NOT contains('aeiouyæøå', right(w, 1)) THEN left(w, length(w) - 1) ELSE w END",
+    )
+    sql = "SELECT word, word AS w, CASE WHEN r = '' THEN length(word) ELSE greatest(length(r), 3) END AS s FROM (SELECT word, regexp_extract(word, '^.*?[aeiouyæøå][^aeiouyæøå]') AS r FROM (SELECT DISTINCT word FROM t))"
+    for step in steps[:3]:
+        sql = f"SELECT word, s, {step} AS w FROM ({sql})"
+    # a suffix goes and then, within what may be cut, the last letter of a doubled ending
+    sql = f"SELECT word, s, w, {ends('løst')} AS l, {ends('elig|els|lig|ig')} AS x FROM ({sql})"
+    sql = f"SELECT word, s, x AND NOT l AS x, CASE WHEN l THEN left(w, length(w) - 1) WHEN x THEN {cut('elig|els|lig|ig')} ELSE w END AS w FROM ({sql})"
+    sql = f"SELECT word, s, CASE WHEN x THEN {doubled} ELSE w END AS w FROM ({sql})"
+    return f"SELECT word, {steps[3]} AS lexeme FROM ({sql})"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS word FROM documents), k AS (SELECT * FROM t WHERE NOT list_contains({sorted(analysis.STOP_WORDS)!r}, word)), m AS ({_danish_sql()})
+    SELECT lexeme, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k JOIN m USING (word) GROUP BY 1""")
 def danish_lexeme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``lexeme_counts``, without stop words and stemmed."""
     return fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text", "danish").groupBy("lexeme").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
@@ -244,6 +270,23 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "mock_model").select("doc_id", "embedding")
 
 
+@query("""SELECT id, list_transform(range(4), lambda d: round(list_avg(list_transform(range(m), lambda j: embedding[j * 4 + d + 1]::DOUBLE)), 5)) AS mean, list_transform(embedding[(m - 1) * 4 + 1 : m * 4], lambda x: round(x::DOUBLE, 5)) AS last
+    FROM (SELECT id, embedding, id % 16 + 1 AS m FROM article_chunks WHERE len(embedding) = 64)""")
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk vectors as the hidden states of sixteen tokens, of which the first few are no padding, pooled in both ways."""
+    pooled = "mean array<double>, last array<double>"
+
+    @F.pandas_udf(pooled)
+    def pool(ids: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        hidden = np.stack(rows.to_list()).astype(np.float64).reshape(-1, 16, 4)
+        mask = (np.arange(16)[None, :] <= (ids.to_numpy() % 16)[:, None]).astype(np.int64)
+        means, lasts = providers.mean_pooled(hidden, mask), providers.last_token_pooled(hidden, mask)
+        return pd.DataFrame({"mean": list(means.round(5)), "last": list(lasts.round(5))})
+
+    rows = table(spark, sf_dir, "article_chunks").where(vectors.right_size(F.col("embedding"), 64))
+    return rows.select("id", pool("id", "embedding").alias("p")).select("id", "p.mean", "p.last")
+
+
 # -- fusion
 
 _LISTS = f"""WITH s AS ({_NEAR.format(k=50)}), t AS ({_NEAR.format(k=50).replace('i.embedding::DOUBLE[]', 'list_reverse(i.embedding)::DOUBLE[]')}),
@@ -536,7 +579,7 @@ def engine_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of a store by the stated ids, at most a hundred of them, with their number."""
     own = _store(spark, sf_dir)
     ids = [r[0] for r in _every_hundredth(own.articles().select("id"), "id").collect()]
-    return Engine(spark, own, table(spark, sf_dir, "encyclopedias")).articles(ids=ids, limit=100).select("id", "rank", "url", "title", "total")
+    return Engine(spark, own, table(spark, sf_dir, "encyclopedias")).articles(ids=ids or [-1], limit=100).select("id", "rank", "url", "title", "total")
 
 
 # -- documents as Markdown

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcorpus.functions.text import is_blank
 from sparkcorpus.functions.vectors import from_blob
+from sparkcorpus.operators.fulltext import postings
 
 
 def _quoted(name: str) -> str:
@@ -54,3 +56,10 @@ def check_load(source_rows: int, loaded: DataFrame) -> None:
     rows, missing = loaded.agg(F.count("*"), F.sum(F.col("id").isNull().cast("int"))).first()
     if rows != source_rows or missing:
         raise ValueError(f"{rows} of {source_rows} rows arrived, {missing or 0} without an id")
+
+
+def check_search(loaded: DataFrame, text_col: str = "xhtml_md", analyser: str = "danish") -> None:
+    """Raise where rows have text and full text finds no lexeme in any of them."""
+    texts = loaded.where(~is_blank(F.col(text_col)))
+    if not texts.isEmpty() and postings(texts, "id", text_col, analyser).isEmpty():
+        raise ValueError("the loaded texts can't be searched")

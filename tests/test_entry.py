@@ -13,7 +13,7 @@ from sparkcorpus.plans import registry
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the data are not here")
 #: A part of the queries on the smallest data; every one runs against its SQL in the round's check.
-CHECKED = ["url_parts", "article_urls", "fts_batch", "fts_lists", "vector_topk", "rrf_reference", "chunk_chars", "chunk_words", "chunk_sections", "sync_categorize", "index_diff", "incremental_dump", "sitemap_parse", "upsert_articles", "precomputed_stats"]
+CHECKED = ["url_parts", "article_urls", "fts_batch", "fts_lists", "vector_topk", "rrf_reference", "chunk_chars", "chunk_words", "chunk_sections", "sync_categorize", "index_diff", "incremental_dump", "sitemap_parse", "upsert_articles", "precomputed_stats", "cleaned_markdown", "reconstructed", "full_dump", "embedding_lines", "hyde_parse", "index_refresh", "engine_text_search", "engine_articles", "vector_topk_cells", "embed_counts", "request_totals", "p2_ledger"]
 
 
 def plain(v):

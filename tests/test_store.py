@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkcorpus import cli
 from sparkcorpus.engine import Engine, NotFound, parse_encyclopedia_ids, parse_ids, sync_summary
@@ -197,6 +198,10 @@ def test_sqlite(spark, tmp_path):
     loaded_rows = sqlite.read_articles(spark, str(path))
     assert loaded_rows.first()["changed_at"] is None and loaded_rows.first()["created_at"] == datetime(2024, 1, 1, 10)
     sqlite.check_load(1, loaded_rows)
+    sqlite.check_search(loaded_rows)
+    sqlite.check_search(loaded_rows.where("false"))
+    with pytest.raises(ValueError):
+        sqlite.check_search(loaded_rows.withColumn("xhtml_md", F.lit("og ... !")))
     with pytest.raises(ValueError):
         sqlite.check_load(2, loaded_rows)
     assert sqlite.read_table(spark, str(path), "leer", "id bigint").count() == 0
@@ -261,6 +266,16 @@ def test_a_change_leaves_untouched_buckets_alone(spark, tmp_path, places):
         store.write("articles", ARTICLES, change=lambda old: (loaded(spark, store, places, article(3)), old)[1], touched=spark.createDataFrame([(3,)], "id long"))
 
 
+def test_vacuum(spark, tmp_path, places):
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    for n in range(4):
+        loaded(spark, store, places, article(n), article(7, f"<p>Tekst {n}.</p>"))
+    before = sorted(r["id"] for r in store.articles().collect())
+    (tmp_path / "s" / "articles" / "v000005_other").mkdir()
+    assert store.vacuum("articles", keep=1) > 0 and store.vacuum("articles", keep=1) == 0
+    assert sorted(r["id"] for r in store.articles().collect()) == before and (tmp_path / "s" / "articles" / "v000005_other").exists()
+
+
 def test_deleting_survives_a_crash_between_the_tables(spark, tmp_path, places, monkeypatch):
     store = Store(spark, str(tmp_path / "s"))
     loaded(spark, store, places, article(1), article(2))
