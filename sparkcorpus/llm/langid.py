@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -258,11 +259,16 @@ def _agreeing(pools: dict[str, list[str]], clear: float = CLEAR) -> dict[str, li
     A wrong label puts a sentence among many right ones, where its triples are rare, so a share of wrong labels well
     below half does no harm.
     """
-    triples = lambda s: {s[i : i + 3] for i in range(len(s) - 2) if not _ODD.search(s[i : i + 3])}
     codes = list(pools)
-    at: dict[str, int] = {}
-    found = {c: [(x, np.fromiter((at.setdefault(t, len(at)) for t in triples(_masked(x).lower())), np.int64)) for x in pools[c]] for c in codes}
-    seeds = {c: np.fromiter((at.setdefault(t, len(at)) for t in triples(_SEEDS[c].lower())), np.int64) for c in codes}
+    at: defaultdict[str, int] = defaultdict()
+    at.default_factory = at.__len__
+
+    def triples(text: str) -> np.ndarray:
+        """Numbers of the triples in what lies between odd characters."""
+        return np.array([at[t] for t in {run[i : i + 3] for run in _ODD.split(text) for i in range(len(run) - 2)}], np.int64)
+
+    found = {c: [(x, triples(_masked(x).lower())) for x in pools[c]] for c in codes}
+    seeds = {c: triples(_SEEDS[c].lower()) for c in codes}
     counts = np.zeros((len(at), len(codes)))
     for k, c in enumerate(codes):
         np.add.at(counts[:, k], np.concatenate([seeds[c], *[i for _, i in found[c]]]), 1)
