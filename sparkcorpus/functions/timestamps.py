@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 from sparkcorpus.session import fresh
 
 _ZONE = r"(Z|UTC|GMT|CEST|CET|[+-]\d{2}(?::?\d{2})?)?"
-#: One pattern for each family of notations, with the order of its groups as year, month, day, hour, minute, second, fraction, zone.
+#: One pattern for each family of notations, with its groups as year-month-day|hour:minute:second|fraction|zone.
 _FAMILIES = (
     (
         r"(?iu)^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:(?:T| +)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? *" + _ZONE + r"(?:\[[A-Za-z_/+-]+\])?)?$",
-        "$1|$2|$3|$4|$5|$6|$7|$8",
+        "$1-$2-$3|$4:$5:$6|$7|$8",
     ),
-    (r"(?iu)^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?" + _ZONE + "$", "$1|$2|$3|$4|$5|$6|$7|$8"),
+    (r"(?iu)^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?" + _ZONE + "$", "$1-$2-$3|$4:$5:$6|$7|$8"),
     (
         r"(?iu)^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:(?:T|,? +)(?:kl\.? *)?(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)? *" + _ZONE + ")?$",
-        "$3|$2|$1|$4|$5|$6|$7|$8",
+        "$3-$2-$1|$4:$5:$6|$7|$8",
     ),
     (
         r"(?iu)^(?:\p{L}{2,9}\.?,? +)?(?:den +)?(\d{1,2})\.? +(\p{L}{3,9})\.?,? +(\d{4})(?:,? +(?:kl\.? *)?(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)? *" + _ZONE + ")?$",
-        "$3|$2|$1|$4|$5|$6|$7|$8",
+        "$3-$2-$1|$4:$5:$6|$7|$8",
     ),
 )
 _NUMBER = r"^-?\d{6,14}$"
@@ -45,22 +45,13 @@ def _literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def _days(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date (years counted from March, in eras of 400)."""
-    year = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(year / 400)
-    of_era = year - era * 400
-    of_year = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    return era * 146097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + of_year - 719468
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of ``value`` evaluated once (an expression used many times would be copied into each use)."""
     return F.transform(F.array(value), body)[0]
 
 
 def _fields(text: Column) -> Column:
-    """The groups of the first family that matches, in the common order; null where none does."""
+    """Date, clock time, fraction and zone by the first family that matches; null where none does."""
     out = F.lit(None).cast("array<string>")
     for pattern, groups in reversed(_FAMILIES):
         out = F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, groups), r"\|")).otherwise(out)
@@ -74,21 +65,26 @@ def _offset(zone: Column) -> Column:
     return F.when(zone == "", F.lit(None).cast("int")).when(zone.rlike("^[A-Z]"), F.try_element_at(_literal_map(_ABBREVIATIONS), zone)).when(zone.startswith("-"), -minutes).otherwise(minutes)
 
 
-def _calendar(parts: Column) -> Column:
-    number = lambda i: F.when(parts[i] == "", F.lit("0")).otherwise(parts[i]).cast("int")
-    month = F.when(parts[1].rlike("^[0-9]+$"), F.when(parts[1].rlike("^[0-9]+$"), parts[1]).cast("int")).otherwise(F.try_element_at(_literal_map(_MONTHS), F.lower(F.substring(parts[1], 1, 3))))
-    names = {"y": number(0), "m": month, "d": number(2), "hh": number(3), "mi": number(4), "ss": number(5), "us": F.rpad(F.substring(parts[6], 1, 6), 6, "0").cast("int"), "off": _offset(F.upper(parts[7]))}
-    return F.struct(*[c.alias(n) for n, c in names.items()])
+def _date(text: Column) -> Column:
+    """Year-month-day with the month as a number."""
+    name = F.split_part(text, F.lit("-"), F.lit(2))
+    number = F.try_element_at(_literal_map({k: str(v) for k, v in _MONTHS.items()}), F.lower(F.substring(name, 1, 3)))
+    return F.when(name.rlike("^[0-9]"), text).otherwise(F.concat_ws("-", F.split_part(text, F.lit("-"), F.lit(1)), number, F.split_part(text, F.lit("-"), F.lit(3))))
+
+
+def _seconds(date: Column, clock: Column) -> Column:
+    """Seconds of a date and clock time as if it were UTC, null where there is no such time; 24:00 ends its day."""
+    full = F.when(clock == "::", "0:0:0").when(clock.endswith(":"), F.concat(clock, F.lit("0"))).otherwise(clock)
+    late = full.rlike("^24:0+:0+$")
+    at = F.concat(date, F.lit(" "), F.when(late, "0:0:0").otherwise(full)).try_cast("timestamp_ntz")
+    return F.when(~date.startswith("0000"), (at - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("long") + F.when(late, 86_400).otherwise(0))
 
 
-def _civil(c: Column) -> Column:
-    """Wall clock of calendar fields, null for dates and times that don't exist."""
-    leap = ((c.y % 4 == 0) & (c.y % 100 != 0)) | (c.y % 400 == 0)
-    last = F.when(c.m == 2, F.when(leap, 29).otherwise(28)).when(c.m.isin(4, 6, 9, 11), 30).otherwise(31)
-    clock = ((c.hh < 24) & (c.mi < 60) & (c.ss < 60)) | ((c.hh == 24) & (c.mi == 0) & (c.ss == 0))
-    ok = (c.y >= 1) & c.m.between(1, 12) & (c.d >= 1) & (c.d <= last) & clock & (c.off.isNull() | (F.abs(c.off) <= 18 * 60))
-    seconds = _days(c.y, c.m, c.d) * 86400 + c.hh * 3600 + c.mi * 60 + c.ss
-    return F.when(ok, F.struct((seconds.cast("long") * 1_000_000 + c.us).alias("wall"), c.off.alias("off")))
+def _instant(parts: Column) -> Column:
+    """``struct<wall, off>`` of what ``_fields`` gives, null where the date, the time or the zone does not exist."""
+    micros = F.rpad(F.substring(parts[2], 1, 6), 6, "0").cast("int")
+    both = F.struct((_seconds(_date(parts[0]), parts[1]) * 1_000_000 + micros).alias("wall"), _offset(F.upper(parts[3])).alias("off"))
+    return _let(both, lambda c: F.when(c["wall"].isNotNull() & (c["off"].isNull() | (F.abs(c["off"]) <= 18 * 60)), c))
 
 
 def delivered(text: Column) -> Column:
@@ -99,7 +95,7 @@ def delivered(text: Column) -> Column:
     """
     number = lambda t: F.when(t.rlike(_NUMBER), t).cast("long")
     unix = lambda n: F.struct(F.when(F.abs(n) < _MILLIS_FROM, n * 1_000_000).otherwise(n * 1_000).alias("wall"), F.lit(0).alias("off"))
-    of_text = lambda t: F.when(t.rlike(_NUMBER), _let(number(t), unix)).otherwise(_let(_fields(t), lambda p: F.when(p.isNotNull(), _let(_calendar(p), _civil))))
+    of_text = lambda t: F.when(t.rlike(_NUMBER), _let(number(t), unix)).otherwise(_let(_fields(t), lambda p: F.when(p.isNotNull(), _instant(p))))
     return _let(strip(text), of_text)
 
 
