@@ -582,6 +582,48 @@ def engine_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, own, table(spark, sf_dir, "encyclopedias")).articles(ids=ids or [-1], limit=100).select("id", "rank", "url", "title", "total")
 
 
+_COUNTED = "[length({0})::FLOAT, (length({0}) - length(replace({0}, 'a', '')))::FLOAT, (length({0}) - length(replace({0}, 'e', '')))::FLOAT, (length({0}) - length(replace({0}, 'n', '')))::FLOAT]"
+#: The chunks as an index numbers them, with vectors that SQL can follow; and every stated headword that is not blank against them.
+_INDEXED = f"""i AS (SELECT row_number() OVER (ORDER BY source_article_id, chunk_sequence_id) AS id, * FROM (SELECT source_article_id, chunk_sequence_id, max(chunk_text) AS chunk_text FROM article_chunks
+        WHERE {_not_blank('chunk_text')} AND source_article_id IS NOT NULL AND chunk_sequence_id IS NOT NULL GROUP BY 1, 2)),
+    q AS (SELECT row_number() OVER (ORDER BY doc_id) AS query, headword FROM documents WHERE doc_id % 100 = 0 AND {_not_blank('headword')}),
+    d AS (SELECT q.query, i.id, round(list_cosine_distance({_COUNTED.replace('{0}', 'q.headword')}::DOUBLE[], {_COUNTED.replace('{0}', 'i.chunk_text')}::DOUBLE[]), 6) AS distance FROM q, i),
+    v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d) WHERE rank <= 50)"""
+
+
+def _counted_engine(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
+    """An engine over a store whose index is embedded by ``_Counts``, and the stated headwords that are not blank."""
+    own = _store(spark, sf_dir, chunks=False)
+    rows = table(spark, sf_dir, "article_chunks").select("source_article_id", "chunk_sequence_id", "chunk_text")
+    own.add_chunks("article_chunks", embedding.embedded(rows, "chunk_text", "mock_model", make=_counting))
+    asked = _every_hundredth(table(spark, sf_dir, "documents"), "doc_id").where(~tx.is_blank(F.col("headword"))).orderBy("doc_id")
+    return Engine(spark, own, table(spark, sf_dir, "encyclopedias"), "simple", _counting), [r[0] for r in asked.select("headword").collect()]
+
+
+@query(f"""WITH {_INDEXED} SELECT v.query, v.rank, v.id AS id_in_index, v.distance, i.source_article_id, i.chunk_sequence_id AS chunk_seq, nullif(a.headword, '') AS title, {_URL} AS url
+    FROM v JOIN i ON i.id = v.id LEFT JOIN {_ARTICLES} a ON a.id = i.source_article_id LEFT JOIN encyclopedias e ON e.encyclopedia_id = a.encyclopedia_id WHERE v.rank <= 5""")
+def engine_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated headwords embedded and searched in a store's index, from cells that are all probed."""
+    own, asked = _counted_engine(spark, sf_dir)
+    made = own.store.build_cells("article_chunks")
+    if not asked:
+        return own.vector_search("article_chunks", "x").where("false").select("query", "rank", "id_in_index", "distance", "source_article_id", "chunk_seq", "title", "url")
+    return own.vector_search_batch("article_chunks", [(x, "query") for x in asked], 5, made).select("query", "rank", "id_in_index", "distance", "source_article_id", "chunk_seq", "title", "url")
+
+
+@query(f"""WITH {_INDEXED}, o AS (SELECT headword FROM q ORDER BY query LIMIT 1), w AS (SELECT list_distinct({_TOKENS.format('headword')}) AS lex FROM o),
+    p AS (SELECT id, lexeme, count(*) AS tf FROM (SELECT id, unnest({_TOKENS.format('chunk_text')}) AS lexeme FROM i) GROUP BY 1, 2),
+    t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(sum(tf / (tf + 1)) / any_value(len(lex)), 6) AS score FROM p JOIN w ON list_contains(lex, lexeme) GROUP BY 1 HAVING count(*) = any_value(len(lex)))),
+    r AS (SELECT id, rank, 1 AS list_no, 0.8 AS weight FROM v WHERE query = 1 UNION ALL SELECT id, rank, 2 AS list_no, 1.2 AS weight FROM t WHERE rank <= 50),
+    f AS (SELECT id, round(sum(weight / (60 + rank)), 9) AS score, min((list_no, rank)) AS seen FROM r GROUP BY 1)
+    SELECT rank, id AS id_in_index, score, 'fused' AS score_kind FROM (SELECT *, row_number() OVER (ORDER BY score DESC, seen, id) AS rank FROM f) WHERE rank <= 10""")
+def engine_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stated headword as an entity: vector and text hits of a store's index, fused by the entity's weights."""
+    own, asked = _counted_engine(spark, sf_dir)
+    found = own.hybrid_search("article_chunks", asked[:1] or ["x"], asked[:1] or ["x"], "entity").select("rank", "id_in_index", "score", "score_kind")
+    return found if asked else found.where("false")
+
+
 # -- documents as Markdown
 
 
