@@ -39,6 +39,8 @@ def _covered(edges: DataFrame, keys: list[str], pos: str, have: str, done: str,
     rows = edges.groupBy(*keys, pos).agg(F.sum(have).alias(have), F.sum(done).alias(done)).withColumn(bucket, _bucketed(keys, pos, width))
     inside = Window.partitionBy(*keys, bucket).orderBy(pos)
     if width:
+        # read three times below: the edges are written once
+        rows = cut_lineage(rows, "edges")
         of = [fresh("have"), fresh("done")]
         across = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         totals = rows.groupBy(*keys, bucket).agg(F.sum(have).alias(of[0]), F.sum(done).alias(of[1]))
@@ -52,6 +54,7 @@ def _covered(edges: DataFrame, keys: list[str], pos: str, have: str, done: str,
     rows = rows.select(*keys, pos, bucket, on)
     follow = F.lead(pos).over(inside)
     if width:
+        rows = cut_lineage(rows, "turns")
         first = fresh("first")
         behind = Window.partitionBy(*keys).orderBy(bucket)
         firsts = rows.groupBy(*keys, bucket).agg(F.min(pos).alias(first)).withColumn(first, F.lead(first).over(behind))
